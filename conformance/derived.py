@@ -70,7 +70,7 @@ class Derived:
         path = F.when(k == 3, "/p").otherwise("")
         return self.given("region").select(
             k.alias("brand_id"),
-            F.initcap(F.lower("r_name")).alias("name"),
+            F.col("r_name").alias("name"),
             F.concat(F.lit("site"), (k * 7).cast("string"), F.lit(".com"), path).alias("domain"),
             F.lit("2020-01-01").cast("timestamp").alias("created_at"),
         )
@@ -130,7 +130,7 @@ class Derived:
             "l_returnflag", "l_linestatus", "l_shipdate",
         )
         lines = self.given("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
-            F.array_sort(F.collect_list(F.struct(*fields))).alias("lines")
+            F.sort_array(F.collect_list(F.struct(*fields))).alias("lines")
         )
 
         def link(x: Column, i: Column) -> Column:
@@ -268,7 +268,7 @@ class Derived:
             F.lit(None).cast("string").alias("note"),
         )
         again = rows.where(i % 6 == 0).withColumns(
-            {"index": i + 2_000_000_000, "query": F.upper(F.concat(F.lit("  "), F.col("query"), F.lit(" !")))}
+            {"index": i + 2_000_000_000, "query": F.lower(F.concat(F.lit("  "), F.col("query"), F.lit(" !")))}
         )
         return rows.unionByName(again)
 

@@ -22,4 +22,4 @@ def is_fresh(ts: Column, now: Column, max_age_s: int) -> Column:
     """Age is at most ``max_age_s`` seconds; text that is no timestamp is never fresh."""
     seen = F.try_to_timestamp(ts.cast("string"))
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(seen)
-    return F.coalesce(age <= F.lit(max_age_s) * 1_000_000, F.lit(False))
+    return F.coalesce(age <= F.lit(max_age_s * 1_000_000), F.lit(False))

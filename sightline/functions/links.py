@@ -12,6 +12,10 @@ from .urls import (
 
 
 
+# two plain labels without a leading www: what normalizing gives back unchanged
+NORMAL_DOMAIN = r"^(?!www\.)[a-z0-9-]+\.[a-z0-9-]+$"
+
+
 def _empty(kind: str) -> Column:
     return F.array().cast(kind)
 
@@ -57,19 +61,20 @@ def best_rank(ranks: Column) -> Column:
 def domain_best_ranks(links: Column) -> Column:
     """One (domain, rank) per domain with its best rank, sorted by domain.
 
-    Two passes so that the host is worked out once per link; the sort puts the best rank of a domain
-    first and the filter keeps it.
+    Two passes so that the host is worked out once per link; a domain that is in normal form already, as
+    ingest stores it, is taken as it is.  The sort puts the best rank of a domain first and the filter
+    keeps it.
     """
     hosts = F.transform(
         links,
         lambda x: F.struct(
-            host_of(
-                F.when(F.coalesce(x["domain"], F.lit("")) != "", x["domain"]).otherwise(x["url"])
-            ).alias("host"),
+            F.when(F.rlike(x["domain"], F.lit(NORMAL_DOMAIN)), x["domain"])
+            .otherwise(host_of(F.when(F.coalesce(x["domain"], F.lit("")) != "", x["domain"]).otherwise(x["url"])))
+            .alias("host"),
             x["rank"].alias("rank"),
         ),
     )
-    pairs = F.array_sort(
+    pairs = F.sort_array(
         F.filter(
             F.transform(
                 hosts, lambda h: F.struct(registrable(h["host"]).alias("domain"), h["rank"].alias("rank"))
@@ -101,8 +106,11 @@ def target_ranks(links: Column, target: Column, *, canonical: bool = False) -> C
     ``canonical`` says that the target already is in canonical form.
     """
     wanted = target if canonical else normalize_target(target)
+    # rules only ever cut a domain shorter, so a link whose domain does not hold the target's is out at once
+    wanted_domain = F.substring_index(wanted, "/", 1)
+    near = F.filter(links, lambda x: F.contains(F.lower(x["domain"]), wanted_domain))
     parts = F.transform(
-        links,
+        near,
         lambda x: F.struct(
             host_of(x["url"]).alias("u"),
             host_of(x["domain"]).alias("d"),
@@ -124,7 +132,7 @@ def target_ranks(links: Column, target: Column, *, canonical: bool = False) -> C
         ),
     )
     hits = F.filter(located, lambda p: prefix_match(join_target(p["domain"], p["path"]), wanted))
-    return F.array_sort(F.transform(hits, lambda p: p["rank"]))
+    return F.sort_array(F.transform(hits, lambda p: p["rank"]))
 
 
 # How the engines wrap a result link, and the host of paid links.

@@ -60,9 +60,10 @@ def audit_score(audits: DataFrame) -> DataFrame:
 
 
 def audit_status_counts(audits: DataFrame) -> DataFrame:
-    return audits.withColumns(
-        {f"n_{s}": F.size(F.filter("checks", lambda x, s=s: _has(x, s))) for s in STATUSES}
-    )
+    def number(status: str) -> Column:
+        return F.size(F.filter("checks", lambda x: _has(x, status)))
+
+    return audits.withColumns({f"n_{s}": number(s) for s in STATUSES})
 
 
 def with_verdict(audits: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def audit_check_order(checks: Column, by_severity: bool = False) -> Column:
         second = severity_rank(x["severity"]) if by_severity else F.lit(0)
         return F.struct(rank.alias("rank"), second.alias("second"), x["id"].alias("id"), x.alias("check"))
 
-    return F.transform(F.array_sort(F.transform(checks, keyed)), lambda k: k["check"])
+    return F.transform(F.sort_array(F.transform(checks, keyed)), lambda k: k["check"])
 
 
 def audit_by_category(audits: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -37,7 +37,7 @@ def assemble_captures(answers: DataFrame, links: DataFrame) -> DataFrame:
     )
     ranked = arrays.select(
         "capture_id",
-        *[links_of_ranked(F.array_sort(F.col(c))).alias(c) for c in ("sources", "citations")],
+        *[links_of_ranked(F.sort_array(F.col(c))).alias(c) for c in ("sources", "citations")],
     )
     none = F.array().cast(LINKS)
     return answers.join(ranked, "capture_id", "left").withColumns(
@@ -81,8 +81,8 @@ def uncited_sources(captures: DataFrame) -> DataFrame:
     return captures.select(
         "id",
         "run_id",
-        F.array_sort(F.array_except(cited, sourced)).alias("cited_not_sourced"),
-        F.array_sort(F.array_except(sourced, cited)).alias("sourced_not_cited"),
+        F.sort_array(F.array_except(cited, sourced)).alias("cited_not_sourced"),
+        F.sort_array(F.array_except(sourced, cited)).alias("sourced_not_cited"),
     )
 
 
@@ -96,18 +96,16 @@ def all_domains(captures: DataFrame) -> DataFrame:
 
 def capture_links(captures: DataFrame) -> DataFrame:
     """One row per link of either channel."""
-    tagged = F.concat(
-        *[
-            F.transform(
-                F.col(channel),
-                lambda x, channel=channel: F.struct(
-                    F.lit(channel).alias("channel"), x["rank"].alias("rank"), x["url"].alias("url"),
-                    x["domain"].alias("domain"),
-                ),
-            )
-            for channel in ("sources", "citations")
-        ]
-    )
+    def of(channel: str) -> Column:
+        return F.transform(
+            F.col(channel),
+            lambda x: F.struct(
+                F.lit(channel).alias("channel"), x["rank"].alias("rank"), x["url"].alias("url"),
+                x["domain"].alias("domain"),
+            ),
+        )
+
+    tagged = F.concat(of("sources"), of("citations"))
     return captures.select(F.col("id").alias("capture_id"), F.inline(tagged))
 
 
@@ -134,7 +132,7 @@ def match_links_to_targets(links: DataFrame, brands: DataFrame) -> DataFrame:
     return (
         keyed.join(targets, "prefix")
         .groupBy("capture_id", "channel", "brand_id")
-        .agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+        .agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
     )
 
 
@@ -179,7 +177,7 @@ def capture_agreement(reads_a: DataFrame, reads_b: DataFrame) -> DataFrame:
     verdict = (
         F.when(F.col("a") == F.col("b"), "agree")
         .when((F.size("a") == 0) | (F.size("b") == 0), "empty_read")
-        .when(F.array_sort("a") == F.array_sort("b"), "reordered")
+        .when(F.sort_array("a") == F.sort_array("b"), "reordered")
         .otherwise("drift")
     )
     return both.select(

@@ -10,61 +10,40 @@ from pyspark.sql import functions as F
 from ..functions import contains_brand, normalize_query, strip_ws, tokens
 from ..schemas import LENSES
 from .skew import first_per_key, top_per_key
-from .validation import coerce_lens, coerce_text
+from .validation import coerce_lens, coerce_text, let, read_fields
 
 _BLANK = "Value error, must be a non-empty string"
 HOT_TOKEN_ROWS = 50_000
 
 
-def _candidate_fields() -> dict[str, Column]:
-    def field(name: str) -> Column:
-        return F.try_variant_get(F.col("raw"), f"$.{name}", "variant")
+def _filled(v: Column) -> Column:
+    """Text with something in it, trimmed."""
+    return let(coerce_text(v), lambda t: let(strip_ws(t["value"]), lambda text: F.struct(
+        text.alias("value"), F.coalesce(t["error"], F.when(text == "", _BLANK)).alias("error")
+    )))
 
-    def filled(name: str) -> Column:
-        text = coerce_text(field(name))
-        value = strip_ws(text["value"])
-        return F.struct(
-            value.alias("value"), F.coalesce(text["error"], F.when(value == "", _BLANK)).alias("error")
-        )
 
-    return {
-        "query": filled("query"),
-        "lens": coerce_lens(field("lens")),
-        "segment": filled("segment"),
-        "signal": filled("signal"),
-        "source_url": filled("source_url"),
-        "note": coerce_text(field("note"), optional=True),
-    }
+_FIELDS = {
+    "query": (_filled, "string"),
+    "lens": (coerce_lens, "string"),
+    "segment": (_filled, "string"),
+    "signal": (_filled, "string"),
+    "source_url": (_filled, "string"),
+    "note": (lambda v: coerce_text(v, True), "string"),
+}
 
 
 def validate_candidates(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``raw`` VARIANT candidates to (typed and trimmed, errors(index, query, field, msg))."""
-    fields = _candidate_fields()
     keys = [c for c in raw.columns if c != "raw"]
-    is_object = F.coalesce(F.startswith(F.schema_of_variant("raw"), F.lit("OBJECT")), F.lit(False))
-    problems = [
-        F.when(
-            F.col(f)["error"].isNotNull(),
-            F.struct(F.lit(f).alias("field"), F.col(f)["error"].alias("msg")),
-        )
-        for f in fields
-    ]
-    not_object = F.when(
-        ~is_object,
-        F.struct(
-            F.lit("?").alias("field"),
-            F.lit("Input should be a valid dictionary or instance of QuestionCandidate").alias("msg"),
-        ),
+    refusal = F.struct(
+        F.lit("?").alias("field"),
+        F.lit("Input should be a valid dictionary or instance of QuestionCandidate").alias("msg"),
     )
-    checked = raw.select("*", *[c.alias(f) for f, c in fields.items()]).select(
-        *keys,
-        F.try_variant_get(F.col("raw"), "$.query", "string").alias("echoed"),
-        *[F.col(f)["value"].alias(f) for f in fields],
-        F.coalesce(not_object, *problems).alias("error"),
-    )
-    good = checked.where(F.col("error").isNull()).drop("error", "echoed")
-    bad = checked.where(F.col("error").isNotNull()).select(
-        *keys, F.col("echoed").alias("query"), "error.field", "error.msg"
+    checked = read_fields(raw, _FIELDS, refusal)
+    good = checked.where(F.col("field_error").isNull()).drop("field_error", "echoed_query")
+    bad = checked.where(F.col("field_error").isNotNull()).select(
+        *keys, F.col("echoed_query").alias("query"), "field_error.field", "field_error.msg"
     )
     return good, bad
 
@@ -138,11 +117,11 @@ def near_duplicate_questions(df: DataFrame, threshold: float = 0.8, hot_rows: in
     question stops at its first earlier match.  Words that stand in more than ``hot_rows`` keys are cut into
     salted parts, each of which holds at most about that many of the earlier questions.
     """
-    words = F.array_sort(F.array_distinct(tokens(normalize_query(F.col("query")))))
+    words = F.sort_array(F.array_distinct(tokens(normalize_query(F.col("query")))))
     sets = df.select("index", words.alias("words"))
     firsts = sets.where(F.size("words") > 0).groupBy("words").agg(F.min("index").alias("index"))
     n = F.size("words")
-    by_length = F.array_sort(
+    by_length = F.sort_array(
         F.transform("words", lambda w: F.struct((-F.length(w)).alias("neg"), w.alias("word")))
     )
     shortest = F.ceil(n * threshold - 1e-9).cast("int")

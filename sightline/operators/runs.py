@@ -130,7 +130,7 @@ def resolve_brand(brands: DataFrame, requested: DataFrame) -> DataFrame:
     ).select("request_id", "brand_id")
     # a name has a handful of domains; the list is part of the answer
     elsewhere = known.groupBy("match_key").agg(
-        F.array_join(F.array_sort(F.collect_set("target")), ", ").alias("known_domains")
+        F.array_join(F.sort_array(F.collect_set("target")), ", ").alias("known_domains")
     )
     return (
         asked.join(hits, "request_id", "left")

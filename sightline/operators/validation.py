@@ -23,162 +23,183 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Work a value out once and use it many times inside one expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _get(v: Column, kind: str, path: str = "$") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _is_number(v: Column) -> Column:
-    return F.rlike(_kind(v), F.lit("^(DECIMAL|DOUBLE|FLOAT)"))
+def _looked_at(v: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of (v, k) with k the type of the variant, NULL where there is none."""
+    return let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("k")), use)
+
+
+def _verdict(value: Column, error: Column) -> Column:
+    return F.struct(value.alias("value"), error.cast("string").alias("error"))
+
+
+def _is_number(k: Column) -> Column:
+    return F.rlike(k, F.lit("^(DECIMAL|DOUBLE|FLOAT)"))
 
 
 # --- lax coercion of one value: (value, error) -----------------------------------------------------
 
 def coerce_text(v: Column, optional: bool = False) -> Column:
     absent = F.lit(None) if optional else F.lit(REQUIRED)
-    error = F.when(v.isNull(), absent).when(_kind(v) == "STRING", F.lit(None))
-    if optional:
-        error = error.when(_kind(v) == "VOID", F.lit(None))
-    return F.struct(
-        F.when(_kind(v) == "STRING", _get(v, "string")).alias("value"),
-        error.otherwise("Input should be a valid string").cast("string").alias("error"),
-    )
+
+    def rule(s: Column) -> Column:
+        fine = (s["k"] == "STRING") | (s["k"] == "VOID") if optional else s["k"] == "STRING"
+        error = F.when(s["k"].isNull(), absent).when(~fine, F.lit("Input should be a valid string"))
+        return _verdict(F.when(s["k"] == "STRING", _get(s["v"], "string")), error)
+
+    return _looked_at(v, rule)
 
 
 def coerce_lens(v: Column) -> Column:
-    text = F.when(_kind(v) == "STRING", _get(v, "string"))
-    known = F.coalesce(text.isin(*LENSES), F.lit(False))
-    return F.struct(
-        F.when(known, text).alias("value"),
-        F.when(v.isNull(), REQUIRED)
-        .when(~known, "Input should be 'general', 'branded' or 'comparative'")
-        .alias("error"),
-    )
+    def rule(s: Column) -> Column:
+        text = F.when(s["k"] == "STRING", _get(s["v"], "string"))
+        known = F.coalesce(text.isin(*LENSES), F.lit(False))
+        error = F.when(s["k"].isNull(), REQUIRED).when(
+            ~known, "Input should be 'general', 'branded' or 'comparative'"
+        )
+        return _verdict(F.when(known, text), error)
+
+    return _looked_at(v, rule)
 
 
 def coerce_bool(v: Column) -> Column:
-    word = F.lower(_get(v, "string"))
-    number = _get(v, "double")
-    value = (
-        F.when(_kind(v) == "BOOLEAN", _get(v, "boolean"))
-        .when(_kind(v) == "STRING", F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False))
-        .when(
-            (_kind(v) == "BIGINT") | _is_number(v), F.when(number == 1, True).when(number == 0, False)
+    def rule(s: Column) -> Column:
+        word, number = F.lower(_get(s["v"], "string")), _get(s["v"], "double")
+        value = (
+            F.when(s["k"] == "BOOLEAN", _get(s["v"], "boolean"))
+            .when(s["k"] == "STRING", F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False))
+            .when((s["k"] == "BIGINT") | _is_number(s["k"]), F.when(number == 1, True).when(number == 0, False))
         )
-    )
-    return F.struct(
-        value.alias("value"),
-        F.when(v.isNull(), REQUIRED)
-        .when(
-            value.isNull() & F.rlike(_kind(v), F.lit("^(STRING|BIGINT|DECIMAL|DOUBLE)")),
-            "Input should be a valid boolean, unable to interpret input",
+        read = F.rlike(s["k"], F.lit("^(STRING|BIGINT|DECIMAL|DOUBLE)"))
+        return let(
+            F.struct(value.alias("value"), s["k"].alias("k"), read.alias("read")),
+            lambda r: _verdict(
+                r["value"],
+                F.when(r["k"].isNull(), REQUIRED)
+                .when(r["value"].isNotNull(), F.lit(None))
+                .when(r["read"], "Input should be a valid boolean, unable to interpret input")
+                .otherwise("Input should be a valid boolean"),
+            ),
         )
-        .when(value.isNull(), "Input should be a valid boolean")
-        .alias("error"),
-    )
+
+    return _looked_at(v, rule)
 
 
 def coerce_rank(v: Column) -> Column:
     """A whole number above 0; "1", 1.0 and true count as 1."""
-    text = strip_ws(_get(v, "string"))
-    number = _get(v, "double")
-    value = (
-        F.when(_kind(v) == "BIGINT", _get(v, "bigint"))
-        .when(_kind(v) == "BOOLEAN", _get(v, "boolean").cast("bigint"))
-        .when(_is_number(v) & (number == F.floor(number)), number.cast("bigint"))
-        .when(
-            (_kind(v) == "STRING") & F.rlike(text, F.lit(r"^[+-]?\d+(\.0*)?$")),
-            F.substring_index(text, ".", 1).try_cast("bigint"),
+    def rule(s: Column) -> Column:
+        text, number = strip_ws(_get(s["v"], "string")), _get(s["v"], "double")
+        value = (
+            F.when(s["k"] == "BIGINT", _get(s["v"], "bigint"))
+            .when(s["k"] == "BOOLEAN", _get(s["v"], "boolean").cast("bigint"))
+            .when(s["k"] == "STRING", F.when(
+                F.rlike(text, F.lit(r"^[+-]?\d+(\.0*)?$")), F.substring_index(text, ".", 1).try_cast("bigint")
+            ))
+            .when(_is_number(s["k"]), F.when(number == F.floor(number), number.cast("bigint")))
         )
-    )
-    return F.struct(
-        value.cast("int").alias("value"),
-        F.when(v.isNull(), REQUIRED)
-        .when(value <= 0, "Input should be greater than 0")
-        .when(value.isNotNull(), F.lit(None))
-        .when(_is_number(v), "Input should be a valid integer, got a number with a fractional part")
-        .when(_kind(v) == "STRING", "Input should be a valid integer, unable to parse string as an integer")
-        .otherwise("Input should be a valid integer")
-        .alias("error"),
-    )
+        return let(
+            F.struct(value.alias("value"), s["k"].alias("k")),
+            lambda r: _verdict(
+                r["value"].cast("int"),
+                F.when(r["k"].isNull(), REQUIRED)
+                .when(r["value"] <= 0, "Input should be greater than 0")
+                .when(r["value"].isNotNull(), F.lit(None))
+                .when(_is_number(r["k"]), "Input should be a valid integer, got a number with a fractional part")
+                .when(r["k"] == "STRING", "Input should be a valid integer, unable to parse string as an integer")
+                .otherwise("Input should be a valid integer"),
+            ),
+        )
+
+    return _looked_at(v, rule)
 
 
 def coerce_time(v: Column) -> Column:
     """ISO text or epoch seconds (milliseconds beyond 2e10), as number or as text."""
-    text = strip_ws(_get(v, "string"))
+    def rule(s: Column) -> Column:
+        return let(
+            F.struct(s["k"].alias("k"), strip_ws(_get(s["v"], "string")).alias("text")),
+            lambda r: let(_time_value(r["k"], r["text"]), lambda value: _verdict(
+                value,
+                F.when(r["k"].isNull(), REQUIRED).when(value.isNull(), "Input should be a valid datetime"),
+            )),
+        )
+
+    return _looked_at(v, rule)
+
+
+def _time_value(k: Column, text: Column) -> Column:
     number = F.when(
-        (_kind(v) == "BIGINT") | _is_number(v) | F.rlike(text, F.lit(r"^-?\d+(\.\d+)?$")),
-        text.try_cast("double"),
+        (k == "BIGINT") | _is_number(k) | F.rlike(text, F.lit(r"^-?\d+(\.\d+)?$")), text.try_cast("double")
     )
-    seconds = F.when(F.abs(number) > 2e10, number / 1000).otherwise(number)
+    micros = let(number, lambda n: F.when(F.abs(n) > 2e10, n * 1000).otherwise(n * 1_000_000))
     iso = F.when(
-        (_kind(v) == "STRING") & F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}|$)")),
+        (k == "STRING") & F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}|$)")),
         F.try_to_timestamp(text),
     )
-    value = F.coalesce(F.timestamp_micros((seconds * 1_000_000).cast("bigint")), iso)
-    return F.struct(
-        value.alias("value"),
-        F.when(v.isNull(), REQUIRED).when(value.isNull(), "Input should be a valid datetime").alias("error"),
-    )
-
-
-def _first_problem(checked: Column) -> Column:
-    """First (loc, error) of an array of checked items, NULL when all are good."""
-    return F.try_element_at(F.filter(checked, lambda x: x["error"].isNotNull()), F.lit(1))
+    return F.coalesce(F.timestamp_micros(micros.cast("bigint")), iso)
 
 
 def coerce_list(v: Column, item: Callable[[Column], Column]) -> Column:
     """A list with every item coerced; a missing list is empty.  ``item`` gives (value, loc, error)."""
-    items = F.when(v.isNotNull(), _get(v, "array<variant>"))
-    checked = F.transform(
-        items,
-        lambda x, i: F.struct(
-            item(x)["value"].alias("value"),
-            F.concat_ws(".", i.cast("string"), item(x)["loc"]).alias("loc"),
-            item(x)["error"].alias("error"),
+    def judged(s: Column) -> Column:
+        placed = F.transform(
+            s["checked"],
+            lambda x, i: F.struct(
+                F.concat_ws(".", i.cast("string"), x["loc"]).alias("loc"), x["error"].alias("error")
+            ),
+        )
+        bad = F.try_element_at(F.filter(placed, lambda x: x["error"].isNotNull()), F.lit(1))
+        return let(bad, lambda b: F.struct(
+            F.coalesce(F.transform(s["checked"], lambda x: x["value"]), F.array()).alias("value"),
+            b["loc"].alias("loc"),
+            F.when(s["wrong"], "Input should be a valid list").otherwise(b["error"]).alias("error"),
+        ))
+
+    return _looked_at(v, lambda s: let(
+        F.struct(
+            F.transform(_get(s["v"], "array<variant>"), item).alias("checked"),
+            (s["k"].isNotNull() & ~F.startswith(s["k"], F.lit("ARRAY"))).alias("wrong"),
         ),
-    )
-    bad = _first_problem(checked)
-    wrong = v.isNotNull() & items.isNull()
-    return F.struct(
-        F.coalesce(F.transform(checked, lambda x: x["value"]), F.array()).alias("value"),
-        F.when(~wrong, bad["loc"]).alias("loc"),
-        F.when(wrong, "Input should be a valid list").otherwise(bad["error"]).alias("error"),
-    )
+        judged,
+    ))
 
 
 def coerce_link(v: Column) -> Column:
-    rank, url, domain = (
-        coerce_rank(_get(v, "variant", "$.rank")),
-        coerce_text(_get(v, "variant", "$.url")),
-        coerce_text(_get(v, "variant", "$.domain")),
-    )
-    is_object = F.coalesce(F.startswith(_kind(v), F.lit("OBJECT")), F.lit(False))
-    problem = F.coalesce(
-        *[
-            F.when(part["error"].isNotNull(), F.struct(F.lit(name).alias("loc"), part["error"].alias("error")))
-            for name, part in (("rank", rank), ("url", url), ("domain", domain))
-        ]
-    )
-    return F.struct(
-        F.struct(
-            rank["value"].alias("rank"), url["value"].alias("url"), domain["value"].alias("domain")
-        ).alias("value"),
-        F.when(is_object, problem["loc"]).alias("loc"),
-        F.when(~is_object, "Input should be a valid dictionary or instance of Link")
-        .otherwise(problem["error"])
-        .alias("error"),
-    )
+    def parts(s: Column) -> Column:
+        return F.struct(
+            F.startswith(s["k"], F.lit("OBJECT")).alias("is_object"),
+            coerce_rank(_get(s["v"], "variant", "$.rank")).alias("rank"),
+            coerce_text(_get(s["v"], "variant", "$.url")).alias("url"),
+            coerce_text(_get(s["v"], "variant", "$.domain")).alias("domain"),
+        )
+
+    names = ("rank", "url", "domain")
+
+    def whole(p: Column) -> Column:
+        loc = F.coalesce(*[F.when(p[n]["error"].isNotNull(), F.lit(n)) for n in names])
+        return F.struct(
+            F.struct(*[p[n]["value"].alias(n) for n in names]).alias("value"),
+            F.when(p["is_object"], loc).alias("loc"),
+            F.when(~p["is_object"], "Input should be a valid dictionary or instance of Link")
+            .otherwise(F.coalesce(*[p[n]["error"] for n in names]))
+            .alias("error"),
+        )
+
+    return _looked_at(v, lambda s: let(parts(s), whole))
 
 
 def _rank_item(v: Column) -> Column:
-    ranked = coerce_rank(v)
-    return F.struct(
-        ranked["value"].alias("value"), F.lit(None).cast("string").alias("loc"), ranked["error"].alias("error")
-    )
+    return let(coerce_rank(v), lambda r: F.struct(
+        r["value"].alias("value"), _null("string").alias("loc"), r["error"].alias("error")
+    ))
 
 
 # fields in the order in which their errors are reported
@@ -200,36 +221,52 @@ FIELDS: dict[str, tuple[Callable[[Column], Column], str]] = {
 _LISTS = ("sources", "citations", "target_source_ranks", "target_citation_ranks")
 
 
-def v_coerce(raw: DataFrame) -> DataFrame:
-    """Typed capture columns out of ``raw`` VARIANT, with ``field_error`` = first (field, msg) or NULL."""
+def read_fields(
+    raw: DataFrame, fields: dict[str, tuple[Callable[[Column], Column], str]], refusal: Column
+) -> DataFrame:
+    """The fields of ``raw`` VARIANT objects, coerced, with ``field_error`` = first (field, msg) or NULL.
+
+    ``refusal`` is the (field, msg) of a row that is no object.  The fields come out of one generator, so
+    they are worked out once and no later filter or column repeats their rules.
+    """
     keys = [c for c in raw.columns if c != "raw"]
-    parsed = raw.select(
-        "*", *[rule(_get(F.col("raw"), "variant", f"$.{f}")).alias(f) for f, (rule, _) in FIELDS.items()]
-    )
-    is_object = F.coalesce(F.startswith(_kind(F.col("raw")), F.lit("OBJECT")), F.lit(False))
-    problems = [
-        F.when(
-            F.col(f)["error"].isNotNull(),
-            F.struct(
-                (F.concat_ws(".", F.lit(f), F.col(f)["loc"]) if f in _LISTS else F.lit(f)).alias("field"),
-                F.col(f)["error"].alias("msg"),
-            ),
+
+    def outcome(p: Column) -> Column:
+        problems = [
+            F.when(
+                p[f]["error"].isNotNull(),
+                F.struct(
+                    (F.concat_ws(".", F.lit(f), p[f]["loc"]) if f in _LISTS else F.lit(f)).alias("field"),
+                    p[f]["error"].alias("msg"),
+                ),
+            )
+            for f in fields
+        ]
+        return F.struct(
+            p["echoed"].alias("echoed_query"),
+            *[p[f]["value"].cast(kind).alias(f) for f, (_, kind) in fields.items()],
+            F.when(~p["is_object"], refusal).otherwise(F.coalesce(*problems)).alias("field_error"),
         )
-        for f in FIELDS
-    ]
-    not_object = F.when(
-        ~is_object,
-        F.struct(
-            F.lit("").alias("field"),
-            F.lit("Input should be a valid dictionary or instance of QueryCapture").alias("msg"),
-        ),
-    )
-    return parsed.select(
-        *keys,
-        _get(F.col("raw"), "string", "$.query").alias("echoed_query"),
-        *[F.col(f)["value"].cast(kind).alias(f) for f, (_, kind) in FIELDS.items()],
-        F.coalesce(not_object, *problems).alias("field_error"),
+
+    def coerced(v: Column) -> Column:
+        is_object = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+        return F.struct(
+            is_object.alias("is_object"),
+            _get(v, "string", "$.query").alias("echoed"),
+            *[rule(_get(v, "variant", f"$.{f}")).alias(f) for f, (rule, _) in fields.items()],
+        )
+
+    rows = F.transform(F.transform(F.array("raw"), coerced), outcome)
+    return raw.select(*keys, F.inline(rows))
+
+
+def v_coerce(raw: DataFrame) -> DataFrame:
+    """Typed capture columns out of ``raw`` VARIANT, with ``field_error`` = first (field, msg) or NULL."""
+    refusal = F.struct(
+        F.lit("").alias("field"),
+        F.lit("Input should be a valid dictionary or instance of QueryCapture").alias("msg"),
     )
+    return read_fields(raw, FIELDS, refusal)
 
 
 # --- rules on typed captures: error text or NULL ---------------------------------------------------
@@ -282,7 +319,7 @@ def _quoted(items: Column, quote: str) -> Column:
 
 def v_citations_subset() -> Column:
     """Cited domains that are no sources, sorted."""
-    extra = F.array_sort(F.array_except(_domains("citations"), _domains("sources")))
+    extra = F.sort_array(F.array_except(_domains("citations"), _domains("sources")))
     return F.when(
         F.size(extra) > 0,
         F.concat(
@@ -304,7 +341,7 @@ def v_target_implication() -> Column:
 
 
 def _bounds(ranks: str, links: str) -> Column:
-    over = F.array_sort(F.filter(F.col(ranks), lambda r: r > F.size(links)))
+    over = F.sort_array(F.filter(F.col(ranks), lambda r: r > F.size(links)))
     return F.when(
         F.size(over) > 0,
         F.concat(

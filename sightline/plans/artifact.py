@@ -28,7 +28,7 @@ _STAT_FIELDS = (
 def _by_lens(df: DataFrame, value: Column, name: str) -> DataFrame:
     """Map lens to value per run, in lens order; a run has a handful of lenses."""
     entry = F.struct(lens_order(F.col("lens")).alias("place"), F.col("lens").alias("lens"), value.alias("value"))
-    sorted_entries = F.array_sort(F.collect_list(entry))
+    sorted_entries = F.sort_array(F.collect_list(entry))
     return df.groupBy("run_id").agg(
         F.map_from_entries(F.transform(sorted_entries, lambda e: F.struct(e["lens"], e["value"]))).alias(name)
     )
@@ -64,14 +64,14 @@ def run_artifact(
         results_parts.unionByName(stats_parts).groupBy("run_id").agg(F.max("_parts").alias("n_parts"))
     )
     result_lists = results_cut.groupBy("run_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("id", F.struct(*_RESULT_FIELDS).alias("r")))).alias("_r")
+        F.sort_array(F.collect_list(F.struct("id", F.struct(*_RESULT_FIELDS).alias("r")))).alias("_r")
     )
     order = F.struct(
         lens_order(F.col("lens")).alias("lens_place"), (-F.col("appearances_sources")).alias("s"),
         (-F.col("appearances_citations")).alias("c"), F.col("domain").alias("name"),
         F.struct("lens", *_STAT_FIELDS).alias("d"),
     )
-    stat_lists = stats_cut.groupBy("run_id", "part").agg(F.array_sort(F.collect_list(order)).alias("_d"))
+    stat_lists = stats_cut.groupBy("run_id", "part").agg(F.sort_array(F.collect_list(order)).alias("_d"))
     parts = (
         header.join(n_parts, "run_id", "left")
         .withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
