@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cases_captures, cases_functions, cases_measures
+from . import cases_audit, cases_captures, cases_functions, cases_measures, cases_questions, cases_streams
 from .derived import Derived
 
-_MODULES = (cases_measures, cases_functions, cases_captures)
+_MODULES = (cases_measures, cases_functions, cases_captures, cases_questions, cases_audit, cases_streams)
 
 
 def _run(fn):

@@ -276,7 +276,7 @@ def assemble_sites(site_fetch: DataFrame) -> DataFrame:
     """
     kind, text = c("kind"), c("text")
     is_page = kind.isin("homepage", "target_page") & (c("status") == 200)
-    read = page_signals(site_fetch.withColumn("_html", F.when(is_page, text)), "_html")
+    read = page_signals(site_fetch.withColumn("_page", F.when(is_page, text)), "_page")
     facts = F.struct(
         "url", "status", "redirects", "scheme", "error",
         text.isNotNull().alias("has_text"),

@@ -40,12 +40,18 @@ def read_capture_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.try_parse_json("value").alias("raw"))
 
 
+_CSV = {
+    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUESTIONS).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    return spark.read.schema(QUESTIONS).options(**_CSV, multiLine=True).csv(path)
 
 
 def write_questions(df: DataFrame, path: str) -> None:
-    df.select("query", "lens").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    df.select("query", "lens").write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
