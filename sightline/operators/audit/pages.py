@@ -34,7 +34,8 @@ FRAMEWORK_TRACES = (
     ("Gatsby", (("gatsby-",), ("/page-data/",))),
     ("Astro", (("_astro/",), ("astro-island",))),
 )
-GRAPH_DEPTH = 4
+# how deep lists and @graph of JSON-LD are followed; the language has no recursion, pages nest two or three
+GRAPH_DEPTH = 10
 
 _COMMENT = r"<!--.*?(?:-->|\z)"
 _SCRIPT = r"<script\b[^>]*>.*?(?:</script[^>]*>|\z)"
@@ -139,17 +140,18 @@ def _as(v: Column, kind: str) -> Column:
     return F.try_variant_get(v, "$", kind)
 
 
-def _nodes(v: Column, depth: int) -> Column:
-    """Objects of a JSON-LD value in document order: itself, its @graph, the items of lists."""
+def _nodes(v: Column, depth: int = GRAPH_DEPTH) -> Column:
+    """Objects of a JSON-LD value in document order: itself, then its list items or its @graph."""
     none = F.array().cast(f"array<{_OBJECT}>")
     node = _as(v, _OBJECT)
+    own = F.when(node.isNotNull(), F.array(node)).otherwise(none)
     if depth == 0:
-        return F.when(node.isNotNull(), F.array(node)).otherwise(none)
-    items = _as(v, "array<variant>")
+        return own
     graph = F.try_element_at(node, F.lit("@graph"))
-    below = F.when(graph.isNotNull(), _nodes(graph, depth - 1)).otherwise(none)
-    listed = F.flatten(F.transform(items, lambda x: _nodes(x, depth - 1)))
-    return F.when(node.isNotNull(), F.concat(F.array(node), below)).otherwise(F.coalesce(listed, none))
+    below = F.coalesce(
+        _as(v, "array<variant>"), _as(graph, "array<variant>"), F.when(graph.isNotNull(), F.array(graph))
+    )
+    return F.concat(own, F.coalesce(F.flatten(F.transform(below, lambda x: _nodes(x, depth - 1))), none))
 
 
 def _types(node: Column) -> Column:
@@ -219,7 +221,7 @@ def page_signals(pages: DataFrame, html: str = "html") -> DataFrame:
         "_nodes",
         F.flatten(
             F.transform(
-                F.filter("_json", lambda j: j.isNotNull()), lambda j: _nodes(j, GRAPH_DEPTH)
+                F.filter("_json", lambda j: j.isNotNull()), lambda j: _nodes(j)
             )
         ),
     )
