@@ -27,13 +27,13 @@ STORED = (
 )
 
 
-def prepare(d: Derived) -> None:
-    """Write the derived tables and let the queries read them."""
+def prepare(d: Derived, files: int) -> None:
+    """Write the derived tables in several files, as they come from many tasks, and let the queries read them."""
     root = scratch_path(d.spark, "bench")
     made = {}
     for name in STORED:
         df = getattr(d, name)
-        df.write.parquet(f"{root}/{name}")
+        df.repartition(files).write.parquet(f"{root}/{name}")
         made[name] = d.spark.read.schema(df.schema).parquet(f"{root}/{name}")
         d.__dict__[name] = made[name]
     for name in ("raw_objects", "candidates_raw"):
@@ -49,7 +49,7 @@ def main() -> None:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     derived = Derived(spark, sf_dir)
     started = time.perf_counter()
-    prepare(derived)
+    prepare(derived, 2 * spark.sparkContext.defaultParallelism)
     timings = {}
     prepared = time.perf_counter() - started
     cases = _cases()

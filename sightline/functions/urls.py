@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip_ws
+from .text import WS_CLASS, strip_ws
 
 # The public suffixes of two labels under which a third label is the registrable one.
 MULTI_PART_SUFFIXES = (
@@ -28,7 +28,7 @@ MULTI_PART_SUFFIXES = (
 )
 
 # the scheme ends at the first "://" anywhere; without one a leading "//" is dropped
-_AFTER_SCHEME = r"(?s)^(?:.*?://|//)?"
+_AFTER_SCHEME = rf"(?s)^[{WS_CLASS}]*(?:.*?://|//)?"
 # the host follows the last "@" before the path, query or fragment
 HOST_PATTERN = _AFTER_SCHEME + r"(?:[^/?#]*@)?([^/?#]*)"
 PATH_PATTERN = _AFTER_SCHEME + r"[^/?#]*/([^?#]*)"
@@ -36,7 +36,7 @@ PATH_PATTERN = _AFTER_SCHEME + r"[^/?#]*/([^?#]*)"
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port, outer dots and leading ``www.`` labels."""
-    raw = F.regexp_extract(strip_ws(F.coalesce(url, F.lit(""))), HOST_PATTERN, 1)
+    raw = F.regexp_extract(F.coalesce(url, F.lit("")), HOST_PATTERN, 1)
     bare = F.lower(F.btrim(strip_ws(raw), F.lit(".")))
     return F.regexp_replace(F.substring_index(bare, ":", 1), r"^(?:www\.)+", "")
 
@@ -54,8 +54,8 @@ def normalize_domain(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """Path segments joined by one '/', lower case, without empty segments; '' when there are none."""
-    raw = F.regexp_extract(strip_ws(F.coalesce(url, F.lit(""))), PATH_PATTERN, 1)
-    return F.btrim(F.regexp_replace(F.lower(raw), "/+", "/"), F.lit("/"))
+    raw = F.regexp_extract(F.coalesce(url, F.lit("")), PATH_PATTERN, 1)
+    return F.btrim(F.regexp_replace(F.lower(strip_ws(raw)), "/+", "/"), F.lit("/"))
 
 
 def join_target(domain: Column, path: Column) -> Column:

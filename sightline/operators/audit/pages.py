@@ -128,7 +128,8 @@ def _root_is_empty(clean: Column, root: str) -> Column:
         return F.struct(depth.alias("depth"), F.coalesce(text, state["text"]).alias("text"))
 
     inner = F.aggregate(pieces, start, step, lambda s: s["text"])
-    return F.when(F.rlike(clean, F.lit(opening)), F.length(strip_ws(inner)) < ROOT_TEXT_CHARS).otherwise(False)
+    there = F.contains(clean, F.lit(root)) & F.rlike(clean, F.lit(opening))
+    return F.when(there, F.length(strip_ws(inner)) < ROOT_TEXT_CHARS).otherwise(False)
 
 
 # --- JSON-LD --------------------------------------------------------------------------------------
