@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ...functions import normalize_domain, normalize_target
 from ...schemas import FETCH_KINDS
 from .pages import llms_has_h1, page_signals, sitemap_wellformed
-from .robots import gating, robots_of
+from .robots import gating, no_robots, robots_of
 from .texts import CHECKS, KEY_SCHEMA_TYPES, LLMS_MIN, ORG_JSONLD, ROBOTS_ALLOW, T
 from .verdict import with_verdict
 
@@ -292,8 +292,7 @@ def assemble_sites(site_fetch: DataFrame) -> DataFrame:
             for k in FETCH_KINDS
         ],
     )
-    nothing = robots_of(F.lit(None).cast("string"), F.lit(None).cast("int"))
-    sites = newest.withColumn("robots", F.coalesce("robots.robots", nothing))
+    sites = newest.withColumn("robots", F.coalesce("robots.robots", no_robots()))
     # a target page that was read decides about rendering, else the homepage does
     return sites.withColumns(
         {

@@ -134,6 +134,18 @@ def robots_of(text: Column, status: Column, malformed: Column | None = None) ->
     )
 
 
+def no_robots() -> Column:
+    """What is known of a site whose robots file was never answered: unreadable, nobody shut out."""
+    allowed = F.transform(bot_array(), lambda b: F.struct(
+        b["ua"].alias("ua"), b["operator"].alias("operator"), b["tier"].alias("tier"), F.lit(True).alias("allowed")
+    ))
+    no, yes = F.lit(False), F.lit(True)
+    return F.struct(
+        no.alias("fetched"), no.alias("present"), yes.alias("unreadable"), no.alias("malformed"),
+        F.array().cast("array<string>").alias("sitemaps"), allowed.alias("policies"),
+    )
+
+
 def _robots_rows(fetch: DataFrame) -> DataFrame:
     return fetch.where(F.col("kind") == "robots")
 

@@ -37,6 +37,8 @@ def local_session(cores: str = "*", app: str = "sightline", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # noting the Python line of every column doubles the time to state a large plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = tuned(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -60,12 +60,11 @@ def bot_registry(spark: SparkSession, tier: str | None = None) -> DataFrame:
 
 def bot_array() -> Column:
     """The crawlers as one literal array, for work inside the row."""
-    return F.array(
-        *[
-            F.struct(F.lit(ua).alias("ua"), F.lit(operator).alias("operator"), F.lit(tier).alias("tier"))
-            for ua, operator, tier, _, _ in CRAWLERS
-        ]
+    rows = ", ".join(
+        f"named_struct('ua', '{ua}', 'operator', '{operator}', 'tier', '{tier}')"
+        for ua, operator, tier, _, _ in CRAWLERS
     )
+    return F.expr(f"array({rows})")
 
 
 def engine_gating(spark: SparkSession) -> DataFrame:
