@@ -120,13 +120,12 @@ def match_links_to_targets(links: DataFrame, brands: DataFrame) -> DataFrame:
         F.col("prefix") != ""
     )
     domains = targets.select(F.substring_index("prefix", "/", 1).alias("link_domain")).distinct()
-    located = links.select(
-        "capture_id",
-        "channel",
-        "rank",
-        normalize_target(effective_link(F.col("url"), F.col("domain"))).alias("location"),
-    ).withColumn("link_domain", F.substring_index("location", "/", 1))
-    keyed = located.join(domains, "link_domain", "left_semi").select(
+    # the domain of a link decides first; its location is worked out only where some brand has the domain
+    near = links.withColumn("link_domain", normalize_domain(F.col("domain"))).join(
+        domains, "link_domain", "left_semi"
+    )
+    location = normalize_target(effective_link(F.col("url"), F.col("domain")))
+    keyed = near.select("capture_id", "channel", "rank", location.alias("location")).select(
         "capture_id", "channel", "rank", F.explode(target_prefixes(F.col("location"))).alias("prefix")
     )
     return (
