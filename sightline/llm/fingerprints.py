@@ -4,58 +4,48 @@ A document is a set of words with their counts as weights.  For each of the samp
 Gamma(2, 1) and b from [0, 1), all from a hash of the word and the sample's number.  With t = floor(ln w / r + b) the word
 has the value ln c - r (t - b + 1), and the word of least value, with its t, is the sample.  Two documents have the
 same sample with the probability of their generalised Jaccard similarity, the sum of the smaller weights over the sum of the
-larger ones.  The gamma draws are read off a table of quantiles.  Everything is columns and SQL functions.
+larger ones.  Everything is columns and SQL functions.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLES = 64
-QUANTILES = 4096
+SAMPLES = 32
 CELLS = 256
 MOST_BUCKETS = 1 << 16
 ROWS_IN_BUCKET = 2000
 
 
-def gamma_quantiles(n: int = QUANTILES) -> np.ndarray:
-    """Middles of n parts of equal probability of Gamma(2, 1): 1 - (1 + x) exp(-x) = p."""
-    p = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        x = (low + high) / 2
-        under = 1 - (1 + x) * np.exp(-x) < p
-        low, high = np.where(under, x, low), np.where(under, high, x)
-    return (low + high) / 2
+def _uniform(h: Column, shift: int) -> Column:
+    """31 bits of a hash as a number between 0 and 1."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 31) - 1)).cast("double") + 0.5) / float(1 << 31)
 
 
-def _held(values: np.ndarray) -> Column:
-    return F.expr(f"CAST(split('{','.join(f'{v:.9g}' for v in values)}', ',') AS ARRAY<DOUBLE>)")
+def _gamma(h: Column) -> Column:
+    """A draw from Gamma(2, 1): the sum of two exponential ones."""
+    return -F.log(_uniform(h, 0) * _uniform(h, 31))
 
 
-def _samples(term: str, weight: str) -> list[Column]:
+def _samples(term: str, log_weight: str) -> list[Column]:
     """One number for each sample: the value in the upper bits, 24 bits that name word and t in the lower."""
-    quantiles = gamma_quantiles()
-    r_of, c_of = _held(quantiles), _held(np.log(quantiles))
-    log_weight, made = F.log(F.col(weight).cast("double")), []
+    made = []
     for k in range(SAMPLES):
-        h = F.xxhash64(F.col(term), F.lit(k))
-        r = F.get(r_of, h.bitwiseAND(F.lit(QUANTILES - 1)).cast("int"))
-        c = F.get(c_of, F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(QUANTILES - 1)).cast("int"))
-        b = F.shiftrightunsigned(h, 34).cast("double") / float(1 << 30)
-        t = F.floor(log_weight / r + b)
-        value = F.floor((c - r * (t - b + 1)) * float(1 << 24))
+        h = F.xxhash64(F.col(term), F.lit(2 * k))
+        r, c = _gamma(h), _gamma(F.xxhash64(F.col(term), F.lit(2 * k + 1)))
+        b = _uniform(F.xxhash64(h), 0)
+        t = F.floor(F.col(log_weight) / r + b)
+        value = F.floor((F.log(c) - r * (t - b + 1)) * float(1 << 24))
         name = (F.shiftrightunsigned(h, 24) + t * 40503).bitwiseAND(F.lit((1 << 24) - 1))
         made.append(F.shiftleft(value, 24).bitwiseOR(name))
     return made
 
 
 def _terms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, term, weight): hash and count of each word; texts without a word have one row with null."""
+    """(keys, term, log_weight): hash and log of the count of each word; texts without a word have one row with null."""
     words = F.filter(F.split(F.translate(F.col(text), "\n\r\t", "   "), " "), lambda w: w != "")
     hashed = df.select(*keys, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("hs"))
     n = F.size("hs")
@@ -65,12 +55,12 @@ def _terms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(1))),
         lambda s, i: F.struct(F.get("hs", s).alias("term"), (F.get("at", i + 1) - s).alias("weight")),
     )
-    return runs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.term", "p.weight")
+    return runs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.term", F.log(F.col("p.weight").cast("double")).alias("log_weight"))
 
 
 def signatures(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """(keys, sig) with one row for each value of the keys; sig has SAMPLES numbers of 16 bits, null without a word."""
-    drawn = _terms(df, text, keys).groupBy(*keys).agg(*(F.min(s).alias(f"s{k}") for k, s in enumerate(_samples("term", "weight"))))
+    drawn = _terms(df, text, keys).groupBy(*keys).agg(*(F.min(s).alias(f"s{k}") for k, s in enumerate(_samples("term", "log_weight"))))
     sig = F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(SAMPLES)))
     return drawn.select(*keys, F.when(F.col("s0").isNotNull(), sig).alias("sig"))
 
