@@ -27,10 +27,10 @@ from .components import components
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 COUNTERS = 1 << 16
-BITMAP_WORDS = 8
+BITMAP_WORDS = 32
 BLOCK = 512
 SMALL_TILE = 64
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 FILTER_BITS = 1 << 22
 BYTES_AT_ONCE = 1 << 21
 
@@ -192,33 +192,46 @@ def _spots(col: str) -> list:
     return [F.pmod(F.xxhash64(F.lit(seed), F.col(col)), F.lit(FILTER_BITS)) for seed in (11, 12)]
 
 
+def _only(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of the given ids and a few others, before anything of them is shuffled."""
+    bits, names = _filter_bits(ids), df.columns
+
+    def run(batches):
+        for batch in batches:
+            on = np.ones(batch.num_rows, bool)
+            for c in (-2, -1):
+                p = batch.column(batch.num_columns + c).to_numpy(zero_copy_only=False).astype(np.int64)
+                on &= (bits[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool)
+            if on.any():
+                kept = pa.Table.from_batches([batch]).filter(pa.array(on)).select(names).combine_chunks()
+                yield from kept.to_batches()
+
+    spots = (s.alias(f"__p{i}") for i, s in enumerate(_spots(id_col)))
+    return df.where(F.col(id_col).isNotNull()).select(*names, *spots).mapInArrow(run, df.schema)
+
+
 def _arrays(docs: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame) -> DataFrame:
     """(id, members, bits): sorted set and bitmap of each of the given documents (and of a few others)."""
-    bits = _filter_bits(ids)
     schema = T.StructType(
-        [field(docs, id_col, "id"), T.StructField("members", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())]
+        [
+            field(docs, id_col, "id"), T.StructField("n", T.LongType()), T.StructField("members", T.ArrayType(T.LongType())),
+            T.StructField("bits", T.BinaryType()),
+        ]
     )
     width = BITMAP_WORDS * 64
 
     def run(batches):
-        for batch in batches:
-            on = np.ones(batch.num_rows, bool)
-            for c in (2, 3):
-                p = batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
-                on &= (bits[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool)
-            kept = pa.Table.from_batches([batch]).filter(pa.array(on)).combine_chunks().to_batches()
-            for part, data, bounds in _parts(iter(kept), 1):
-                doc, h, size = _sets(data, bounds, n)
-                cells = np.zeros((len(size), width), np.uint8)
-                cells[doc, (h >> U(40)).astype(np.int64) % width] = 1
-                maps = np.packbits(cells, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _lists(h.view(np.int64), size, pa.int64()), pa.array([m.tobytes() for m in maps], pa.binary())],
-                    names=["id", "members", "bits"],
-                )
+        for part, data, bounds in _parts(batches, 1):
+            doc, h, size = _sets(data, bounds, n)
+            cells = np.zeros((len(size), width), np.uint8)
+            cells[doc, (h >> U(40)).astype(np.int64) % width] = 1
+            maps = [m.tobytes() for m in np.packbits(cells, axis=1)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(size.astype(np.int64)), _lists(h.view(np.int64), size, pa.int64()), pa.array(maps, pa.binary())],
+                names=["id", "n", "members", "bits"],
+            )
 
-    found = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col, *(s.alias(f"__p{i}") for i, s in enumerate(_spots(id_col))))
-    return found.mapInArrow(run, schema)
+    return _only(docs.select(id_col, text_col), id_col, ids).mapInArrow(run, schema)
 
 
 POPULATION = np.array([bin(i).count("1") for i in range(256)], np.uint16)
@@ -229,29 +242,43 @@ def _overlap_bound(x: np.ndarray, nx, y: np.ndarray, ny) -> np.ndarray:
     return (nx + ny - POPULATION[x ^ y].sum(-1, dtype=np.int64)) // 2
 
 
+def _with_both(pairs: DataFrame, arrays: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with some columns of either side, named x_ and y_."""
+    left = arrays.select(F.col("id").alias("a"), *(F.col(c).alias(f"x_{c}") for c in columns))
+    right = arrays.select(F.col("id").alias("b"), *(F.col(c).alias(f"y_{c}") for c in columns))
+    return pairs.join(right, "b").join(left, "a")
+
+
+def possible(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule out the threshold."""
+
+    @F.pandas_udf(T.BooleanType())
+    def may(xn: pd.Series, x: pd.Series, yn: pd.Series, y: pd.Series) -> pd.Series:
+        maps = [np.frombuffer(b"".join(m), np.uint8).reshape(len(m), -1) for m in (x, y)]
+        sizes = (xn + yn).to_numpy()
+        return pd.Series(_overlap_bound(maps[0], sizes, maps[1], 0) * (100 + percent) >= percent * sizes)
+
+    met = _with_both(pairs, arrays, "n", "bits")
+    return met.where(may("x_n", "x_bits", "y_n", "y_bits")).select("a", "b")
+
+
 def similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold, by intersection of the sorted arrays."""
 
     @F.pandas_udf(T.BooleanType())
-    def reach(xs: pd.Series, x_bits: pd.Series, ys: pd.Series, y_bits: pd.Series) -> pd.Series:
+    def reach(xs: pd.Series, ys: pd.Series) -> pd.Series:
         out = []
-        for x, xb, y, yb in zip(xs, x_bits, ys, y_bits, strict=True):
-            sizes = len(x) + len(y)
-            need = -(-percent * sizes // (100 + percent))
-            bound = _overlap_bound(np.frombuffer(xb, np.uint8), len(x), np.frombuffer(yb, np.uint8), len(y))
-            if bound < need:
-                out.append(False)
-                continue
+        for x, y in zip(xs, ys, strict=True):
             x, y = np.asarray(x).view(U), np.asarray(y).view(U)
             at = np.searchsorted(x, y)
             at[at == len(x)] = 0
             both = int((x[at] == y).sum()) if len(x) else 0
-            out.append(100 * both >= percent * (sizes - both))
+            out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    left = arrays.select(F.col("id").alias("a"), F.col("members").alias("xs"), F.col("bits").alias("x_bits"))
-    right = arrays.select(F.col("id").alias("b"), F.col("members").alias("ys"), F.col("bits").alias("y_bits"))
-    return pairs.join(right, "b").join(left, "a").where(reach("xs", "x_bits", "ys", "y_bits")).select("a", "b")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    met = _with_both(pairs, _only(arrays.select("id", "members"), "id", ids), "members")
+    return met.where(reach("x_members", "y_members")).select("a", "b")
 
 
 def _near_in_size(x: str, y: str, percent: int):
@@ -269,11 +296,15 @@ def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(tiles: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Pairs of one member of each tile with the others that are not yet in its component."""
+    """At most one pair for each member that is not yet in the component of the centre of one of its tiles.
+
+    Of the centres a member meets it takes the one of least hash, so that a text with copies is compared once a round.
+    """
     centres = tiles.groupBy("member", "tile").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep", "n", "comp")).alias("c"))
     met = tiles.join(centres, ["member", "tile"]).where(F.col("comp") != F.col("c.comp"))
     met = met.withColumn("m", F.col("c.n")).where(_near_in_size("n", "m", percent))
-    return met.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    best = met.groupBy("rep").agg(F.min(F.struct("c.h", "c.rep")).alias("c"))
+    return best.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
 
 
 def _block_pairs(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -337,15 +368,19 @@ def ngram_join(
     band = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
     tiles = listed.join(shared, "member").withColumn("tile", F.explode(F.array(band, band + 1)))
     tiles = stored(tiles.select("member", "tile", "rep", "n"), "tiles")
+    met = tiles.groupBy("member", "tile").agg(F.count("*").alias("k")).where("k > 1").select("member", "tile")
+    tiles = stored(tiles.join(met, ["member", "tile"]), "tiles")
     arrays = stored(_arrays(docs, id_col, text_col, words, tiles.select(F.col("rep").alias("id")).distinct()), "arrays")
     links, labels = None, None
     for seed in range(STAR_ROUNDS):
-        found = stored(similar(_star_pairs(_labelled(tiles, labels), seed, percent), arrays, percent), "links")
+        near = stored(possible(_star_pairs(_labelled(tiles, labels), seed, percent), arrays, percent), "pairs")
+        found = stored(similar(near, arrays, percent), "links")
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels = components(links)
-    found = stored(similar(_block_pairs(_labelled(tiles, labels), arrays, percent), arrays, percent), "links")
+    near = stored(possible(_block_pairs(_labelled(tiles, labels), arrays, percent), arrays, percent), "pairs")
+    found = stored(similar(near, arrays, percent), "links")
     if not found.isEmpty():
         labels = components(found if links is None else links.union(found))
     named = reps.select("s1", "s2", "n", "rep")
