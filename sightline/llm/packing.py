@@ -13,6 +13,7 @@ import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from .common import ROWS_AT_ONCE, Bounded, field
 
 ID_BYTES = 4
-CACHED = 500_000
+CACHED = 1_000_000
 SIMPLE = 0x300  # below this code point, normal forms and lower case are the same in all Unicode versions
 
 
@@ -77,6 +78,12 @@ class WordTokenizer:
         return b"".join(parts)
 
 
+@lru_cache(2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a worker process, which keeps the words of all its tasks."""
+    return WordTokenizer(path)
+
+
 class Piece:
     __slots__ = ("doc", "ids", "start", "total")
 
@@ -188,7 +195,7 @@ def pack_documents(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, first = to_arrow_schema(schema), TaskContext.get().partitionId() << 40
-        encode, packer, rows, made = WordTokenizer(tokenizer), Packer(capacity), [], 0
+        encode, packer, rows, made = word_tokenizer(tokenizer), Packer(capacity), [], 0
 
         def note(window: list[Piece]) -> None:
             nonlocal made
