@@ -32,7 +32,7 @@ BLOCK = 512
 SMALL_TILE = 64
 STAR_ROUNDS = 4
 FILTER_BITS = 1 << 22
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 19
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
