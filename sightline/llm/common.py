@@ -15,8 +15,16 @@ from sightline.session import scratch_path
 ROWS_AT_ONCE = 1000
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers find this library where the driver found it, also when they start in another folder."""
+ROWS_IN_BATCH = "10000", "1000"  # Spark's own, and what suits rows that hold whole documents
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers find this library where the driver found it, and be sent documents in small batches.
+
+    A batch size that the user has set is left alone.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_IN_BATCH[0]) == ROWS_IN_BATCH[0]:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_IN_BATCH[1])
     root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -24,7 +32,7 @@ def importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -30,7 +30,7 @@ COUNTERS = 1 << 16
 BITMAP_WORDS = 32
 BLOCK = 512
 SMALL_TILE = 64
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 FILTER_BITS = 1 << 22
 BYTES_AT_ONCE = 1 << 19
 
