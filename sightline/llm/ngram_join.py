@@ -27,7 +27,7 @@ from .components import components
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 COUNTERS = 1 << 16
-BITMAP_WORDS = 32
+LEAST_BITS = 512
 BLOCK = 512
 SMALL_TILE = 64
 STAR_ROUNDS = 3
@@ -218,14 +218,18 @@ def _arrays(docs: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame)
             T.StructField("bits", T.BinaryType()),
         ]
     )
-    width = BITMAP_WORDS * 64
 
     def run(batches):
         for part, data, bounds in _parts(batches, 1):
             doc, h, size = _sets(data, bounds, n)
-            cells = np.zeros((len(size), width), np.uint8)
-            cells[doc, (h >> U(40)).astype(np.int64) % width] = 1
-            maps = [m.tobytes() for m in np.packbits(cells, axis=1)]
+            widths, maps = _widths(size), [b""] * len(size)
+            for width in np.unique(widths):
+                of = np.flatnonzero(widths == width)
+                cells = np.zeros((len(of), width), np.uint8)
+                mine = widths[doc] == width
+                cells[np.searchsorted(of, doc[mine]), (h[mine] >> U(40)).astype(np.int64) % width] = 1
+                for i, m in zip(of, np.packbits(cells, axis=1), strict=True):
+                    maps[i] = m.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(size.astype(np.int64)), _lists(h.view(np.int64), size, pa.int64()), pa.array(maps, pa.binary())],
                 names=["id", "n", "members", "bits"],
@@ -237,6 +241,23 @@ def _arrays(docs: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame)
 POPULATION = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 
+def _widths(size: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set: a power of two, twice to four times its size."""
+    return np.maximum(LEAST_BITS, 1 << (np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) + 1))
+
+
+def _stack(maps) -> np.ndarray:
+    """Bitmaps as rows of one width, wider ones folded: as if they had been made with fewer bits."""
+    width = min(map(len, maps))
+    out = np.empty((len(maps), width), np.uint8)
+    for i, m in enumerate(maps):
+        row = np.frombuffer(m, np.uint8)
+        while len(row) > width:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        out[i] = row
+    return out
+
+
 def _overlap_bound(x: np.ndarray, nx, y: np.ndarray, ny) -> np.ndarray:
     """The most members two sets can share: each bit that differs is a member only one of them has."""
     return (nx + ny - POPULATION[x ^ y].sum(-1, dtype=np.int64)) // 2
@@ -254,9 +275,11 @@ def possible(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf(T.BooleanType())
     def may(xn: pd.Series, x: pd.Series, yn: pd.Series, y: pd.Series) -> pd.Series:
-        maps = [np.frombuffer(b"".join(m), np.uint8).reshape(len(m), -1) for m in (x, y)]
-        sizes = (xn + yn).to_numpy()
-        return pd.Series(_overlap_bound(maps[0], sizes, maps[1], 0) * (100 + percent) >= percent * sizes)
+        out = []
+        for n, a, b in zip(xn + yn, x, y, strict=True):
+            pair = _stack((a, b))
+            out.append(_overlap_bound(pair[0], n, pair[1], 0) * (100 + percent) >= percent * n)
+        return pd.Series(out, dtype=bool)
 
     met = _with_both(pairs, arrays, "n", "bits")
     return met.where(may("x_n", "x_bits", "y_n", "y_bits")).select("a", "b")
@@ -330,7 +353,8 @@ def _block_pairs(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = rows["x"].iloc[0], rows["y"].iloc[0]
         left, right = rows[rows["own"] == x].reset_index(drop=True), rows[rows["own"] == y].reset_index(drop=True)
-        maps = [np.array([np.frombuffer(b, np.uint8) for b in side["bits"]]).reshape(len(side), -1) for side in (left, right)]
+        both = _stack([*left["bits"], *right["bits"]])
+        maps = both[: len(left)], both[len(left) :]
         n, comp, rep = right["n"].to_numpy(), right["comp"].to_numpy(), right["rep"].to_numpy()
         a, b = [], []
         for i in range(len(left)):
