@@ -29,6 +29,7 @@ ORDINARY_BYTES = 16_000
 TOXIC_BYTES = 12_000
 STEPS = (2, 3, 4, 6)  # bytes saved
 CACHED = 300_000
+REACH = 6.0  # standard deviations a feature counts for at most
 
 
 @dataclass
@@ -121,8 +122,10 @@ class Scorer:
         ]
 
     def score(self, text: str | None) -> float:
+        if not windows(text):
+            return 0.0
         m = self.model
-        z = (np.array(self.features(text)) - m.mean) / m.spread
+        z = np.clip((np.array(self.features(text)) - m.mean) / m.spread, -REACH, REACH)
         return float(1 / (1 + np.exp(-np.clip(z @ m.weights[:-1] + m.weights[-1], -50, 50))))
 
 
@@ -187,7 +190,7 @@ def score_toxicity(
     """(id, kept columns, score) for each row of ``docs``; score: 0 to 1, higher for toxic text.
 
     Fitted to at most ``toxic_rows`` and ``other_rows`` texts of ``labelled`` that ``labels`` marks.  Null counts as the
-    empty text, which has the score of a text without any telling window.  Where one of the labels has no text, every
+    empty text; a text without a word has the score 0.  Where one of the labels has no text, every
     score is 0.  An empty table gives an empty table; further columns are ignored.
     """
     model = fit(sample(labelled, labels, id_col, text_col, label_col, toxic_rows, other_rows))
