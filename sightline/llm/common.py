@@ -85,6 +85,17 @@ def per_row(
     return df.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """Something costly that a worker process keeps over its tasks; only the last one, so that caches do not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class Bounded(dict):
     """A cache that forgets the older half of its entries when it is full."""
 

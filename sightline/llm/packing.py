@@ -13,7 +13,6 @@ import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ROWS_AT_ONCE, Bounded, field
+from .common import ROWS_AT_ONCE, Bounded, field, held
 
 ID_BYTES = 4
 CACHED = 1_000_000
@@ -78,12 +77,6 @@ class WordTokenizer:
         return b"".join(parts)
 
 
-@lru_cache(2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of a worker process, which keeps the words of all its tasks."""
-    return WordTokenizer(path)
-
-
 class Piece:
     __slots__ = ("doc", "ids", "start", "total")
 
@@ -195,7 +188,7 @@ def pack_documents(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, first = to_arrow_schema(schema), TaskContext.get().partitionId() << 40
-        encode, packer, rows, made = word_tokenizer(tokenizer), Packer(capacity), [], 0
+        encode, packer, rows, made = held(("words", tokenizer), lambda: WordTokenizer(tokenizer)), Packer(capacity), [], 0
 
         def note(window: list[Piece]) -> None:
             nonlocal made

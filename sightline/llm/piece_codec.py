@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import ahocorasick
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Bounded, per_row
+from .common import Bounded, held, per_row
 
 MARK = "▁"  # what a model writes for a space; here both are a space
 NEVER = 1 << 60
@@ -158,9 +157,8 @@ class PieceModel:
         return self.decode_bytes(ids).removeprefix(" ")
 
 
-@lru_cache(2)
 def load(path: str) -> PieceModel:
-    return PieceModel(path)
+    return held(("pieces", path), lambda: PieceModel(path))
 
 
 def encode_decode(
@@ -173,13 +171,13 @@ def encode_decode(
     """
 
     def make():
-        held = load(model)
+        codec = load(model)
 
         def work(texts):
             out: list[list] = [[], [], [], [], []]
             for text in texts:
-                ids, back = held.digits(text or "")
-                ids = f"{ids} {held.end_id}".lstrip()
+                ids, back = codec.digits(text or "")
+                ids = f"{ids} {codec.end_id}".lstrip()
                 row = (
                     ids.count(" ") + 1, list(map(int, ids.split())) if with_ids else None, back if with_ids else None,
                     hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bounded, per_row
+from .common import Bounded, held, per_row
 
 WORD = re.compile(rb"[^\x00-\x20.,;:!?|*#$&%\"()<>\[\]{}=]+")
 WINDOW = 48  # bytes of a word in one window; longer words make several
@@ -129,18 +129,6 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z @ m.weights[:-1] + m.weights[-1], -50, 50))))
 
 
-_scorers: dict[tuple, Scorer] = {}
-
-
-def scorer_of(model: Model) -> Scorer:
-    """The scorer of a worker process, which keeps the windows of all its tasks."""
-    key = (model.ordinary, model.toxic, model.weights.tobytes())
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def fit(examples: list[tuple[str, int]]) -> Model | None:
     """Dictionaries from two thirds of the texts, weights from the rest; None where a label is missing.
 
@@ -196,7 +184,8 @@ def score_toxicity(
     model = fit(sample(labelled, labels, id_col, text_col, label_col, toxic_rows, other_rows))
 
     def make():
-        scorer = scorer_of(model) if model else None
+        key = ("toxicity", model.ordinary, model.toxic, model.weights.tobytes()) if model else None
+        scorer = held(key, lambda: Scorer(model)) if model else None
 
         def work(texts):
             return [[scorer.score(t) if scorer else 0.0 for t in texts]]
