@@ -30,7 +30,7 @@ COUNTERS = 1 << 16
 LEAST_BITS = 512
 BLOCK = 512
 SMALL_TILE = 64
-STAR_ROUNDS = 3
+STAR_ROUNDS = 8
 FILTER_BITS = 1 << 22
 BYTES_AT_ONCE = 1 << 19
 
