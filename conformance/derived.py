@@ -258,7 +258,7 @@ class Derived:
         """Typed question candidates with repeats, near repeats and missing fields."""
         i = F.col("index")
         lens = pick(("general", "branded", "comparative"), i % 3)
-        query = F.concat(F.substring("query", 1, 60), F.when(i % 2 == 0, " ?").otherwise(""))
+        query = F.concat("query", F.when(i % 2 == 0, " ?").otherwise(""))
         named = F.when((i % 3 == 1) & (i % 5 != 0), F.concat(query, F.lit(" Acme App"))).otherwise(query)
         rows = self.asked.select(
             i, named.alias("query"), F.when(i % 29 == 0, "promo").otherwise(lens).alias("lens"),

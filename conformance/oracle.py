@@ -193,7 +193,7 @@ CTES = {
         FROM cap""",
     "asked": """SELECT conv_id * 1000 + turn AS index, text AS query FROM conversations WHERE role = 'user'
         UNION ALL SELECT item_id + 1000000000, text FROM benchmark""",
-    "cand0": """SELECT index, left(query, 60) || CASE WHEN index % 2 = 0 THEN ' ?' ELSE '' END
+    "cand0": """SELECT index, query || CASE WHEN index % 2 = 0 THEN ' ?' ELSE '' END
             || CASE WHEN index % 3 = 1 AND index % 5 <> 0 THEN ' Acme App' ELSE '' END AS query,
         CASE WHEN index % 29 = 0 THEN 'promo' ELSE ['general', 'branded', 'comparative'][index % 3 + 1] END AS lens,
         's' || (index % 4) AS segment, CASE WHEN index % 31 <> 0 THEN 'forum' ELSE '  ' END AS signal,
