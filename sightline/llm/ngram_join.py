@@ -178,14 +178,10 @@ def _rare_members(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size over the ids; it only saves work, what it lets through is joined exactly."""
+def _filter_words(ids: DataFrame) -> DataFrame:
+    """(w, b): a bit filter over the ids, in at most FILTER_BITS / 32 rows; what it lets through is joined exactly."""
     spots = ids.select(F.explode(F.array(*_spots("id"))).alias("p"))
-    words = spots.groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 32))")).alias("b"))
-    bits = np.zeros(FILTER_BITS // 32, np.int64)
-    for r in words.collect():  # at most FILTER_BITS / 32 rows
-        bits[r["w"]] = r["b"]
-    return bits.astype(np.uint32)
+    return spots.groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 32))")).alias("b"))
 
 
 def _spots(col: str) -> list:
@@ -193,21 +189,14 @@ def _spots(col: str) -> list:
 
 
 def _only(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows of the given ids and a few others, before anything of them is shuffled."""
-    bits, names = _filter_bits(ids), df.columns
-
-    def run(batches):
-        for batch in batches:
-            on = np.ones(batch.num_rows, bool)
-            for c in (-2, -1):
-                p = batch.column(batch.num_columns + c).to_numpy(zero_copy_only=False).astype(np.int64)
-                on &= (bits[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool)
-            if on.any():
-                kept = pa.Table.from_batches([batch]).filter(pa.array(on)).select(names).combine_chunks()
-                yield from kept.to_batches()
-
-    spots = (s.alias(f"__p{i}") for i, s in enumerate(_spots(id_col)))
-    return df.where(F.col(id_col).isNotNull()).select(*names, *spots).mapInArrow(run, df.schema)
+    """The rows of the given ids and a few others, before anything of them is shuffled or sent to Python."""
+    words, names = stored(_filter_words(ids), "filter"), df.columns
+    kept = df.where(F.col(id_col).isNotNull())
+    for i, spot in enumerate(_spots(id_col)):
+        word = F.broadcast(words.select(F.col("w").alias(f"__w{i}"), F.col("b").alias(f"__b{i}")))
+        kept = kept.withColumn(f"__p{i}", spot).withColumn(f"__w{i}", (F.col(f"__p{i}") / 32).cast("int"))
+        kept = kept.join(word, f"__w{i}").where(f"shiftright(__b{i}, int(__p{i} % 32)) & 1 = 1")
+    return kept.select(*names)
 
 
 def _arrays(docs: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame) -> DataFrame:
