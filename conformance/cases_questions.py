@@ -80,7 +80,7 @@ def _scored(d: Derived):
     truth = d.captures.withColumn("fixture_id", i)
     first = F.slice("sources", 1, 1)
     faulty = F.when(i % 5 == 0, F.slice("sources", 1, 0)).when(i % 5 == 1, F.reverse("sources")).when(
-        i % 5 == 2, F.slice("sources", 2, 100)).when(i % 5 == 3, F.concat("sources", first)).otherwise(F.col("sources"))
+        i % 5 == 2, F.slice("sources", F.lit(2), F.size("sources"))).when(i % 5 == 3, F.concat("sources", first)).otherwise(F.col("sources"))
     cand = d.captures.withColumns({
         "candidate_id": i, "fixture_id": i, "sources": faulty,
         "overview_present": F.when(i % 7 == 0, ~F.col("overview_present")).otherwise(F.col("overview_present")),

@@ -28,9 +28,12 @@ _EVENT_SQL = {
 
 
 def _arrivals(d: Derived):
-    """Events as arriving captures, as a file stream."""
-    schema = d.given("events").schema
-    stream = d.spark.readStream.schema(schema).parquet(f"{d.dir}/events.parque[t]")
+    """Events as arriving captures: a stream of files, one a batch, in an order that is not that of their times."""
+    path = scratch_path(d.spark, "arrivals")
+    events = d.given("events")
+    for part in (2, 0, 1):  # by months, so that whole files come late
+        events.where(F.month("ts") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+    stream = d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     lens = F.when(F.col("event_type") == "view", "general").when(F.col("event_type") == "click", "branded")
     return stream.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("run_id"),
@@ -40,12 +43,11 @@ def _arrivals(d: Derived):
     )
 
 
-def _to_table(d: Derived, df, name: str):
-    """Run an append stream to its end into a table."""
-    out = scratch_path(d.spark, name)
-    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(
-        availableNow=True).start().awaitTermination()
-    return d.spark.read.schema(df.schema).parquet(out)
+def _deduped(d: Derived):
+    """The arrivals stored once a key."""
+    out = scratch_path(d.spark, "dedupe")
+    stream_dedupe(_arrivals(d), out, out + "-state").awaitTermination()
+    return d.spark.read.parquet(out)
 
 
 def _to_latest(d: Derived, df, name: str, keys: list[str]):
@@ -64,7 +66,7 @@ def _to_latest(d: Derived, df, name: str, keys: list[str]):
 
 
 case("stream_dedupe",
-     lambda d: present(_to_table(d, stream_dedupe(_arrivals(d), "3650 days"), "dedupe").groupBy("run_id", "query", "lens").agg(F.count(F.lit(1)).alias("n"))),
+     lambda d: present(_deduped(d).groupBy("run_id", "query", "lens").agg(F.count(F.lit(1)).alias("n"))),
      "SELECT DISTINCT run_id, query, lens, 1::BIGINT AS n FROM arrivals", _EVENT_SQL)
 case("stream_live_counts", lambda d: present(_to_latest(d, stream_live_counts(_arrivals(d)), "live", ["run_id"])),
      "SELECT run_id, count(*) AS n_ok FROM arrivals GROUP BY run_id", _EVENT_SQL)
@@ -76,19 +78,20 @@ case("stream_weekly_trend", lambda d: present(_to_latest(d, stream_weekly_trend(
 def _stream_captures(d: Derived):
     """Capture chunks landed as files, followed by the stream; a chunk sent twice adds nothing."""
     root = scratch_path(d.spark, "stream")
-    lines = d.capture_bodies.select("run_id", "index", "body")
-    lines.write.parquet(f"{root}/in")
+    # places are counted anew in every run and chunk
+    lines = d.capture_bodies.select("run_id", (F.col("index") % 10).alias("index"), "body", F.col("index").alias("whole"))
+    lines.drop("whole").write.parquet(f"{root}/in")
     stream_captures(d.spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
-    lines.where("index % 5 = 0").write.mode("append").parquet(f"{root}/in")
+    lines.where("whole % 5 = 0").drop("whole").write.mode("append").parquet(f"{root}/in")
     stream_captures(d.spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
     kept = T.read_or_empty(d.spark, f"{root}/out/results", RESULTS)
     return present(kept.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("query", "lens").alias("n_keys"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct("query", "lens").alias("n_keys"), F.countDistinct("id").alias("n_ids"),
         F.sum(F.size("sources")).alias("links")))
 
 
 from .cases_captures import _BADX  # noqa: E402
 
 case("stream_captures", _stream_captures,
-     """SELECT run_id, count(*) AS n, count(*) AS n_keys, sum(n_sources)::BIGINT AS links FROM (SELECT * FROM bad WHERE field IS NULL
+     """SELECT run_id, count(*) AS n, count(*) AS n_keys, count(*) AS n_ids, sum(n_sources)::BIGINT AS links FROM (SELECT * FROM bad WHERE field IS NULL
      QUALIFY row_number() OVER (PARTITION BY run_id, query, lens ORDER BY id) = 1) GROUP BY run_id""", _BADX)

@@ -6,6 +6,9 @@ tags inside strings and comments.  Every later pattern runs on the rest.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +60,10 @@ TIME_TAG = r"(?i)<time\s(?:[^>]*\s)?datetime[\s=>/]"
 MAIN_TAG = r"(?i)<(?:main|article)[\s>/]"
 
 
+_NAMED = json.dumps({name: char for name, char in html5.items() if name.endswith(";")})
+_REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+
+
 def attr_pattern(name: str) -> str:
     return rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
@@ -67,10 +74,23 @@ def attr(tag: Column, name: str) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """The five common character references."""
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    """Named and numbered character references that end in a semicolon; others stay as they are."""
+    # one literal once the plan is optimized
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def read(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        number = F.when(F.rlike(name, F.lit("^#[xX]")), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(
+            F.substring(name, 2, 8)
+        ).cast("bigint")
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        char = F.when(F.startswith(name, F.lit("#")), numbered).otherwise(F.try_element_at(named, F.concat(name, F.lit(";"))))
+        rest = F.substring(piece, F.length(name) + 3, F.length(piece))
+        return F.when((name != "") & char.isNotNull(), F.concat(char, rest)).otherwise(piece)
+
+    pieces = F.transform(F.split(text, "(?=&)"), read)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def _tags(html: Column, name: str) -> Column:
@@ -294,14 +314,26 @@ def page_signals(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def sitemap_wellformed(text: Column) -> Column:
-    """The text is XML: it parses, and nothing but blanks and comments follows the end of its first element."""
+    """The text is XML: it parses, and nothing but blanks and comments stands beside its one outermost element."""
     parsed = F.from_xml(text, "_corrupt_record STRING", {"mode": "PERMISSIVE"})
     one_root = (
-        r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<![A-Z][^>]*>|\s)*"
-        r"<([^\s/>!?]+)(?:[^>]*/>|(?:\s[^>]*)?>.*</\1\s*>)\s*(?:<!--.*?-->\s*)*$"
+        r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<![A-Z][^>]*>|\s)*+"
+        r"<([^\s/>!?]+)(?:[^>]*/>|(?:\s[^>]*)?>.*</\1\s*>)\s*(?:<!--.*?-->\s*)*+$"
+    )
+    tags = F.regexp_extract_all(
+        F.regexp_replace(text, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Z][^>]*>", ""),
+        F.lit(r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0),
     )
+
+    def step(state: Column, tag: Column) -> Column:
+        change = F.when(F.startswith(tag, F.lit("</")), -1).when(F.endswith(tag, F.lit("/>")), 0).otherwise(1)
+        depth = state["depth"] + change
+        return F.struct(depth.alias("depth"), (state["roots"] + (depth == 0).cast("int")).alias("roots"))
+
+    nothing = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("roots"))
+    roots = F.aggregate(tags, nothing, step, lambda s: s["roots"])
     return F.coalesce(
-        F.when(F.rlike(text, F.lit(one_root)), parsed["_corrupt_record"].isNull()), F.lit(False)
+        F.when(F.rlike(text, F.lit(one_root)), parsed["_corrupt_record"].isNull() & (roots == 1)), F.lit(False)
     )
 
 

@@ -420,12 +420,14 @@ def ingest_report(inserted: DataFrame, skipped: DataFrame, errors: DataFrame, st
 
 
 def ingest_outcomes(inserted: DataFrame, skipped: DataFrame, errors: DataFrame) -> DataFrame:
-    """What became of every row: (run_id, index, outcome, query, field, msg); the last three for errors."""
+    """What became of every row: (run_id, [file,] index, outcome, query, field, msg); the last three for errors."""
+    place = [c for c in ("run_id", "file", "index") if c in errors.columns]
+
     def rows(df: DataFrame, outcome: str) -> DataFrame:
         notes = [
             (F.col(c) if outcome == "error" else _null("string")).alias(c) for c in ("query", "field", "msg")
         ]
-        return df.select("run_id", "index", F.lit(outcome).alias("outcome"), *notes)
+        return df.select(*place, F.lit(outcome).alias("outcome"), *notes)
 
     return rows(inserted, "ok").unionByName(rows(skipped, "skipped")).unionByName(rows(errors, "error"))
 

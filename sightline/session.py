@@ -8,23 +8,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings the operators were planned with.  All are runtime SQL settings, so they can be put on a
-# session that somebody else built; values the user set are left alone by ``tuned``.
+# session that somebody else built; values the user set, whatever they are, are left alone by ``tuned``.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a skewed join is split even when that costs one more exchange after it
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # JSON-LD in the wild repeats keys; keep the last one like common JSON readers
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Put the library's SQL settings on a session and return it."""
+    """Put those of the library's SQL settings on a session that nobody has set, and return it."""
+    taken = {r["key"] for r in spark.sql("SET").collect()}  # what has been set, on the session or where it was built
     for key, value in SQL_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if key not in taken:
             spark.conf.set(key, value)
     return spark
 

@@ -65,14 +65,21 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return table.select(*spark.createDataFrame([], schema).columns)
 
 
+def row_place(batch: DataFrame) -> list[str]:
+    """The columns that name a row of a batch: the run, its file if known, and the place in that."""
+    return [c for c in ("run_id", "file", "index") if c in batch.columns]
+
+
 def append_captures(batch: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to store, rows to skip) of a batch: the first of each (run, query, lens) that is not stored.
 
-    ``batch`` has run_id, index and the capture columns.  Only keys of ``results`` are read.
+    ``batch`` has run_id, index and the capture columns; where several chunks of a run may come together, ``file``
+    says which chunk ``index`` counts in.  Only keys of ``results`` are read.
     """
-    firsts = first_per_key(batch, CAPTURE_KEY, [F.col("index")])
+    place = row_place(batch)
+    firsts = first_per_key(batch, CAPTURE_KEY, [F.col(c) for c in place[1:]])
     inserted = firsts.join(results.select(*CAPTURE_KEY), CAPTURE_KEY, "left_anti")
-    names = ["run_id", "index"]
+    names = place
     skipped = batch.select(*names).join(inserted.select(*names), names, "left_anti")
     return inserted, skipped
 
@@ -88,14 +95,22 @@ def write_captures(rows: DataFrame, path: str) -> None:
     rows.withColumn("run_bucket", run_bucket("run_id")).write.mode("append").partitionBy("run_bucket").parquet(path)
 
 
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that ``rebuild_metrics`` or ``rebuild_domain_stats`` keeps, without the marks of emptied folders."""
+    return read_or_empty(spark, path, schema).where(F.col("run_id").isNotNull())
+
+
 def _replace_runs(rows: DataFrame, path: str, schema: str, runs: DataFrame | None) -> None:
     """Replace the rows of some runs, leaving other runs of the same folders as they are."""
     spark = rows.sparkSession
     done = (rows if runs is None else runs).select("run_id").distinct()
     touched = done.select(run_bucket("run_id").alias("run_bucket")).distinct()
-    stored = read_or_empty(spark, path, schema + ", run_bucket INT")
+    stored = read_runs(spark, path, schema + ", run_bucket INT")
     kept = stored.join(touched, "run_bucket", "left_semi").join(done, "run_id", "left_anti")
     out = kept.unionByName(rows.withColumn("run_bucket", run_bucket("run_id")))
+    # a folder without rows would not be written, and keep what it held: each one touched gets a row without a run
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema if f.name != "run_bucket"]
+    out = out.unionByName(touched.select(*nothing, "run_bucket"))
     # rebalance puts a folder into few files and still cuts up a folder that is large
     (
         out.hint("rebalance", "run_bucket")
@@ -131,7 +146,7 @@ def upsert_lens_sentiment(current: DataFrame, updates: DataFrame) -> DataFrame:
     ).select(*columns)
 
 
-def _made_id(*parts: Column | str) -> Column:
+def made_id(*parts: Column | str) -> Column:
     """An id that any task makes alike from what names the row, so a repeated job makes no second row."""
     return F.xxhash64(*parts).bitwiseAND(F.lit(2**63 - 1))
 
@@ -151,7 +166,7 @@ def upsert_brands(brands: DataFrame, requested: DataFrame) -> DataFrame:
         asked.join(known, ["domain", "match_key"], "left_anti"),
         ["domain", "match_key"],
         [F.col("created_at"), F.col("name")],
-    ).select(_made_id("domain", "match_key").alias("brand_id"), "name", "domain", "created_at")
+    ).select(made_id("domain", "match_key").alias("brand_id"), "name", "domain", "created_at")
     return brands.select("brand_id", "name", "domain", "created_at").unionByName(fresh)
 
 
@@ -159,7 +174,7 @@ def open_runs(runs: DataFrame, requests: DataFrame) -> DataFrame:
     """Runs with one new running run per request (brand_id, engine, run_at, group_id)."""
     none = F.lit(None)
     fresh = requests.select(
-        _made_id("brand_id", "engine", "run_at", F.coalesce("group_id", F.lit(""))).alias("run_id"),
+        made_id("brand_id", "engine", "run_at", F.coalesce("group_id", F.lit(""))).alias("run_id"),
         "brand_id", "engine", "run_at", F.lit("running").alias("status"),
         none.cast("int").alias("n_queries"), none.cast("int").alias("n_ok"), none.cast("int").alias("n_failed"),
         "group_id",

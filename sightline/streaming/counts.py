@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.captures import CAPTURE_KEY
+from ..operators.skew import first_per_key
+from ..sources.tables import stored_keys, write_captures
 
-def stream_dedupe(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """First arrival per (run, query, lens) within the watermark.
 
-    State is dropped when the watermark passes; a later repeat is caught by the append's anti-join.
+def stream_dedupe(stream: DataFrame, out_dir: str, checkpoint: str) -> StreamingQuery:
+    """Store the first arrival per (run, query, lens), however late it comes.
+
+    A batch is held against the keys that are stored already, so nothing is kept in state and nothing is
+    dropped for its age; a batch that is worked on again finds its own rows stored.
     """
-    return stream.withWatermark("captured_at", watermark).dropDuplicatesWithinWatermark(
-        ["run_id", "query", "lens"]
-    )
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+
+    def store(batch: DataFrame, batch_no: int) -> None:
+        known = stored_keys(batch.sparkSession, out_dir, columns, batch)
+        firsts = first_per_key(batch, CAPTURE_KEY, [F.col("captured_at"), F.col("id")])
+        write_captures(firsts.join(known, CAPTURE_KEY, "left_anti"), out_dir)
+
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_live_counts(stream: DataFrame) -> DataFrame:
@@ -21,15 +32,16 @@ def stream_live_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_ok"))
 
 
-def stream_weekly_trend(stream: DataFrame, watermark: str = "7 days") -> DataFrame:
-    """Captures and shown overviews per Monday-based week and lens.
+def stream_weekly_trend(stream: DataFrame) -> DataFrame:
+    """Captures and shown overviews per Monday-based week and lens; for update mode.
 
-    The epoch was a Thursday, so windows of a week start four days in.
+    There is no watermark: the state is a row for each week and lens, and a capture of a resumed run
+    counts in its own week however late it comes.  The epoch was a Thursday, so windows of a week start
+    four days in.
     """
     week = F.window(F.col("captured_at"), "7 days", None, "4 days")
     return (
-        stream.withWatermark("captured_at", watermark)
-        .groupBy(week.alias("week"), "lens")
+        stream.groupBy(week.alias("week"), "lens")
         .agg(
             F.count(F.lit(1)).alias("n_queries"),
             F.count_if(F.coalesce(F.col("overview_present"), F.lit(False))).alias("n_overviews"),

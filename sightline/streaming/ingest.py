@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.captures import CAPTURE_KEY
 from ..operators.validation import checked_captures, ingest_outcomes
 from ..schemas import RESULTS
-from ..sources.tables import append_captures, stored_keys, write_captures
+from ..sources.tables import append_captures, made_id, row_place, stored_keys, write_captures
 
 STREAM_LINE = "run_id LONG, index LONG, body STRING"
 
 
-def ingest_batch(raw: DataFrame, out_dir: str, batch_no: int = 0) -> None:
-    """Store the new captures of a batch ``raw(run_id, index, raw VARIANT)``.
+def ingest_batch(raw: DataFrame, out_dir: str, batch_no: int) -> None:
+    """Store the new captures of a batch ``raw(run_id, index, raw VARIANT[, file])``.
 
     ``out_dir/results`` gets one row per (run, query, lens) ever sent; ``out_dir/outcomes`` says for every
     row of the batch whether it was stored, skipped or refused, and why.  A batch may be sent again in
-    whole or part: its outcomes are replaced and what is stored already is skipped.
+    whole or part: outcomes of the same ``batch_no`` are replaced and what is stored already is skipped.
+    The id of a capture is a hash of its run, query and lens, so it is the same whenever it is sent.
     """
     spark = raw.sparkSession
     results = f"{out_dir}/results"
@@ -26,17 +28,15 @@ def ingest_batch(raw: DataFrame, out_dir: str, batch_no: int = 0) -> None:
     try:
         good = checked.where(F.col("error").isNull()).drop("error", "echoed_query")
         bad = checked.where(F.col("error").isNotNull()).select(
-            "run_id", "index", F.col("echoed_query").alias("query"), "error.field", "error.msg"
+            *row_place(checked), F.col("echoed_query").alias("query"), "error.field", "error.msg"
         )
         inserted, skipped = append_captures(good, stored_keys(spark, results, RESULTS, good))
         # outcomes first: once the captures are stored the same question has another answer
         ingest_outcomes(inserted, skipped, bad).withColumn("batch_no", F.lit(batch_no)).write.mode(
             "overwrite"
         ).option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(f"{out_dir}/outcomes")
-        # ids grow with the batch, then with the place inside it
-        ids = F.lit(batch_no).cast("bigint") * F.lit(2**40) + F.col("index").cast("bigint")
         names = spark.createDataFrame([], RESULTS).columns
-        write_captures(inserted.withColumn("id", ids).select(*names), results)
+        write_captures(inserted.withColumn("id", made_id(*CAPTURE_KEY)).select(*names), results)
     finally:
         checked.unpersist()
 
@@ -51,7 +51,7 @@ def stream_captures(
     already stored are skipped.
     """
     lines = spark.readStream.schema(STREAM_LINE).option("maxFilesPerTrigger", max_files).parquet(in_dir)
-    raw = lines.select("run_id", "index", F.try_parse_json("body").alias("raw"))
+    raw = lines.select("run_id", F.col("_metadata.file_path").alias("file"), "index", F.try_parse_json("body").alias("raw"))
 
     def store(batch: DataFrame, batch_no: int) -> None:
         ingest_batch(batch, out_dir, batch_no)

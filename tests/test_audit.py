@@ -151,9 +151,17 @@ def test_small_signals(spark):
         assert s[name] == value, html
 
 
+def test_character_references(column):
+    texts = {"A&eacute;B &mdash; C": "A\u00e9B \u2014 C", "&amp;lt;": "&lt;", "&#39;x&#x1F600;": "'x\U0001f600", "&#0;": "\ufffd",
+             "a & b &nope; &amp": "a & b &nope; &amp", "": "", None: None}
+    assert dict(zip(texts, column([(t,) for t in texts], "t STRING", P.unescape(F.col("t"))))) == texts
+
+
 def test_sitemap_and_llms(column):
     maps = {"<a><b/></a>": True, '<?xml version="1.0"?>\n<a x="1"><!-- c --></a>\n': True, "<a/>": True, "<a><b></a>": False, "<a></a>junk": False,
-            "": False, None: False, "plain": False, "<a>&nbsp;</a>": False, "<a></b>": False}
+            "": False, None: False, "plain": False, "<a>&nbsp;</a>": False, "<a></b>": False,
+            "<a></a><a></a>": False, "<a/><b/>": False, "<a x='>'>" + "<u/>" * 9000 + "</a>": True, "<a><![CDATA[<b>]]></a>": True,
+            "<a/>" + "<!-- c -->" * 20_000: True, "<!-- c -->" * 20_000 + "<a/>": True}
     assert dict(zip(maps, column([(m,) for m in maps], "t STRING", P.sitemap_wellformed(F.col("t"))))) == maps
     texts = {"# Brand\n": True, "x\n  ## y": True, "no heading": False, "": False, None: False, "a # b": False}
     assert dict(zip(texts, column([(t,) for t in texts], "t STRING", P.llms_has_h1(F.col("t"))))) == texts

@@ -57,3 +57,13 @@ def test_filters_reach_the_scan(tables):
 def test_targets_match_without_pairs(tables):
     text = plan(match_links_to_targets(capture_links(tables["captures"]), tables["brands"]))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_settings_of_the_user_stay(spark):
+    from sightline.session import tuned
+
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert tuned(spark).conf.get("spark.sql.session.timeZone") == "Europe/Berlin"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
