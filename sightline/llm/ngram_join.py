@@ -297,6 +297,18 @@ def _near_in_size(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
+def _different(tiles: DataFrame) -> DataFrame:
+    """(member, tile) of the tiles with more than one text; of tiles that hold the same texts, one.
+
+    Near copies share most of their rare members, so they would meet as often as they are alike.  Tiles are compared by
+    their size and 128 bits of hashes.
+    """
+    of = [F.bit_xor(F.xxhash64(F.lit(seed), "rep")).alias(f"h{seed}") for seed in (1, 2)]
+    held = tiles.groupBy("member", "tile").agg(F.count("*").alias("k"), *of).where("k > 1")
+    one = held.groupBy("k", "h1", "h2").agg(F.min(F.struct("member", "tile")).alias("of"))
+    return one.select("of.member", "of.tile")
+
+
 def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The tiles that hold more than one component, each member with its component."""
     if labels is None:
@@ -381,8 +393,7 @@ def ngram_join(
     band = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
     tiles = listed.join(shared, "member").withColumn("tile", F.explode(F.array(band, band + 1)))
     tiles = stored(tiles.select("member", "tile", "rep", "n"), "tiles")
-    met = tiles.groupBy("member", "tile").agg(F.count("*").alias("k")).where("k > 1").select("member", "tile")
-    tiles = stored(tiles.join(met, ["member", "tile"]), "tiles")
+    tiles = stored(tiles.join(_different(tiles), ["member", "tile"]), "tiles")
     arrays = stored(_arrays(docs, id_col, text_col, words, tiles.select(F.col("rep").alias("id")).distinct()), "arrays")
     links, labels = None, None
     for seed in range(STAR_ROUNDS):
