@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -309,14 +309,18 @@ def _different(tiles: DataFrame) -> DataFrame:
     return one.select("of.member", "of.tile")
 
 
-def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The tiles that hold more than one component, each member with its component."""
+def _named(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The tiles, each member with its component."""
     if labels is None:
         return tiles.withColumn("comp", F.col("rep"))
     named = tiles.join(labels.select(F.col("node").alias("rep"), F.col("comp").alias("found")), "rep", "left")
-    named = named.withColumn("comp", F.coalesce("found", "rep")).drop("found")
-    apart = named.groupBy("member", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return named.join(apart.select("member", "tile"), ["member", "tile"])
+    return named.withColumn("comp", F.coalesce("found", "rep")).drop("found")
+
+
+def _apart(named: DataFrame, *more: Column) -> DataFrame:
+    """(member, tile, more aggregates) of the tiles that hold more than one component."""
+    of = named.groupBy("member", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *more)
+    return of.where("lo < hi").drop("lo", "hi")
 
 
 def _star_pairs(tiles: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -324,7 +328,7 @@ def _star_pairs(tiles: DataFrame, seed: int, percent: int) -> DataFrame:
 
     Of the centres a member meets it takes the one of least hash, so that a text with copies is compared once a round.
     """
-    centres = tiles.groupBy("member", "tile").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep", "n", "comp")).alias("c"))
+    centres = _apart(tiles, F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep", "n", "comp")).alias("c"))
     met = tiles.join(centres, ["member", "tile"]).where(F.col("comp") != F.col("c.comp"))
     met = met.withColumn("m", F.col("c.n")).where(_near_in_size("n", "m", percent))
     best = met.groupBy("rep").agg(F.min(F.struct("c.h", "c.rep")).alias("c"))
@@ -397,13 +401,15 @@ def ngram_join(
     arrays = stored(_arrays(docs, id_col, text_col, words, tiles.select(F.col("rep").alias("id")).distinct()), "arrays")
     links, labels = None, None
     for seed in range(STAR_ROUNDS):
-        near = stored(possible(_star_pairs(_labelled(tiles, labels), seed, percent), arrays, percent), "pairs")
+        near = stored(possible(_star_pairs(_named(tiles, labels), seed, percent), arrays, percent), "pairs")
         found = stored(similar(near, arrays, percent), "links")
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels = components(links)
-    near = stored(possible(_block_pairs(_labelled(tiles, labels), arrays, percent), arrays, percent), "pairs")
+    left = _named(tiles, labels)
+    left = left.join(_apart(left), ["member", "tile"])
+    near = stored(possible(_block_pairs(left, arrays, percent), arrays, percent), "pairs")
     found = stored(similar(near, arrays, percent), "links")
     if not found.isEmpty():
         labels = components(found if links is None else links.union(found))

@@ -130,6 +130,13 @@ def test_links_of_near_copies_in_a_hot_group(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {d: (len(grams[d]), comp[d]) for d in made}
 
 
+def test_of_tiles_with_the_same_texts_one_is_kept(spark):
+    held = {(1, 0): (1, 2, 3), (1, 1): (1, 2, 3), (2, 0): (1, 2, 3), (3, 0): (1, 2), (4, 0): (2, 3), (5, 0): (4,), (6, 0): (2, 1)}
+    rows = [(m, t, r) for (m, t), reps in held.items() for r in reps]
+    kept = ngram_join._different(spark.createDataFrame(rows, "member bigint, tile int, rep bigint")).collect()
+    assert sorted(held[r["member"], r["tile"]] for r in kept) == [(1, 2), (1, 2, 3), (2, 3)]
+
+
 def test_overlap_bound_holds_for_folded_bitmaps():
     rng = np.random.default_rng(1)
     for a, b in ((600, 550), (100, 90)):
