@@ -99,16 +99,16 @@ def test_unwrap_redirects(column):
 
 def test_questions(column):
     queries = {
-        "  Cheapest GPU  for LLM inference? ": "cheapest gpu for llm inference", "Is Gonka legit!!!": "is gonka legit",
-        "": "", "A, B, C.": "a, b, c", None: "", "what now… ": "what now",
+        "  Best  tea for cold mornings? ": "best tea for cold mornings", "Does Tarvel ship abroad!!!": "does tarvel ship abroad",
+        "": "", "Milk, Sugar.": "milk, sugar", None: "", "and then… ": "and then",
     }
     got = column([(q,) for q in queries], "q STRING", X.normalize_query(F.col("q")))
     assert dict(zip(queries, got)) == queries
     brands = [
-        ("gonka vs akash", "Gonka", True), ("gonkanauts unite", "Gonka", False),
-        ("what is example app pricing", "Example App", True), ("example reviews", "Example App", False),
-        ("anything", "", False), ("anything", "   ", False), ("АСКОНА цена", "аскона", True),
-        ("асконаленд обзор", "Аскона", False), ("отзывы про аскона матрас", "Аскона Матрас", True),
+        ("is tarvel or oolmar cheaper", "Tarvel", True), ("a tarvelling salesman", "Tarvel", False),
+        ("how old is leaf and cup", "Leaf and Cup", True), ("leaf reviews", "Leaf and Cup", False),
+        ("whatever", "", False), ("whatever", "   ", False), ("ВЕЛТА чай", "велта", True),
+        ("велтаград карта", "Велта", False), ("где купить велта чай", "Велта Чай", True),
     ]
     got = column([b[:2] for b in brands], "q STRING, b STRING", X.contains_brand(F.col("q"), F.col("b")))
     assert got == [b[2] for b in brands]
