@@ -37,19 +37,27 @@ HIDDEN = "­​‌‍⁠﻿"
 NUMERALS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
 ODD = re.compile(f"[{''.join(LOOKALIKES)}{HIDDEN}！-～]|(?![0-9])\\d")
 NUMBER_WORD = "(?:" + "|".join(NUMERALS) + ")"
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]?)?(?:{NUMBER_WORD}|[0-9]+)(?:[ .()-]{{1,3}}(?:{NUMBER_WORD}|[0-9]+))+(?![A-Za-z0-9])", re.I)
-TWO_WORDS = re.compile(rf"\b{NUMBER_WORD}[ .()-]{{1,3}}{NUMBER_WORD}\b", re.I)
+AT_WORD = r"(?:[ ]at[ ]|[ ]?[(\[{<][ ]?at[ ]?[)\]}>][ ]?)"
+DOT_WORD = r"(?:[ ]dot[ ]|[ ]?[(\[{<][ ]?dot[ ]?[)\]}>][ ]?)"
+UNIT = rf"(?:{NUMBER_WORD}|[0-9]+)"
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]?)?{UNIT}(?:(?:[ .()-]{{1,3}}|{DOT_WORD}){UNIT})+(?![A-Za-z0-9])", re.I)
+ONE_NUMBER = re.compile(NUMBER_WORD, re.I)
 PLUS = re.compile(r"plus[ -]?", re.I)
 IN_BRACKETS = re.compile(r"[ ]?[(\[{<][ ]?(at|dot)[ ]?[)\]}>][ ]?", re.I)
-DOT_WORD = r"(?:[ ]dot[ ]|[ ]?[(\[{<][ ]?dot[ ]?[)\]}>][ ]?)"
-SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}([ ]at[ ])[A-Za-z0-9-]{{1,63}}(?:(?:\.|{DOT_WORD})[A-Za-z0-9-]{{1,63}})*?"
-    rf"{DOT_WORD}[A-Za-z0-9-]{{1,63}}(?:(?:\.|{DOT_WORD})[A-Za-z0-9-]{{1,63}})*",
-    re.I,
-)
-SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{DOT_WORD}[0-9]{{1,3}}){{3}}(?![0-9.])", re.I)
+# the end of an email from its "at" on, each "at" and "dot" spelled or not, and not the beginning of another one
+DOMAIN_PART = rf"[A-Za-z0-9-]++(?:(?:\.|{DOT_WORD})[A-Za-z0-9-]++)++"
+AT_DOMAIN = re.compile(rf"(?:@|({AT_WORD})){DOMAIN_PART}(?![@_%+]|{AT_WORD}{DOMAIN_PART})", re.I)
 ONE_DOT = re.compile(DOT_WORD, re.I)
-
+DOT_BEFORE = re.compile(rf"{DOT_WORD}\Z", re.I)
+DOT_ROOM = len(" ( dot ) ")
+# "look at example.com": words that stand before a place, where neither "at" nor "dot" shows that an email is meant
+BEFORE_PLACE = frozenset(
+    "a an and are at available be been call find found go here him her hosted i in is it join look looked looking me meet more on online or read "
+    "see seen site that the them there they this up us visit was we web website were you".split()
+)
+IP_PART = "(?:[0-9]{1,3}|[0-9](?:[ -][0-9]){1,2})"
+SPOKEN_IP = re.compile(rf"(?<![0-9.]){IP_PART}(?:(?:\.|{DOT_WORD}){IP_PART}){{3}}(?!\.?[0-9])", re.I)
+IN_IP = re.compile(rf"({DOT_WORD})|(?<=[0-9])[ -](?=[0-9])", re.I)
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -97,12 +105,15 @@ class Source:
 
     def __init__(self, text: str):
         self.text = text
-        self.start, self.end = list(range(len(text))), list(range(1, len(text) + 1))
+        self.start: list[int] | None = None
+        self.end: list[int] = []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Put strings in place of slices; edits are in order and do not overlap."""
         if not edits:
             return
+        if self.start is None:
+            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
         text, start, end, at = [], [], [], 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
@@ -124,40 +135,69 @@ def _plain(c: str) -> str:
     return chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else str(unicodedata.digit(c, 0))
 
 
+def _odd(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), _plain(m.group())) for m in ODD.finditer(text)]
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """Digits for number words beside other numbers; whether they make an identifier shows in the rewritten text."""
+    low = text.lower()
+    if "plus" not in low and not any(w in low for w in NUMERALS):
+        return []
     edits = []
     for run in SPELLED.finditer(text):
-        if TWO_WORDS.search(run.group()):
-            if p := PLUS.match(run.group()):
-                edits.append((run.start(), run.start() + p.end(), "+"))
-            edits += [
-                (run.start() + w.start(), run.start() + w.end(), NUMERALS[w.group().lower()])
-                for w in re.finditer(NUMBER_WORD, run.group(), re.I)
-            ]
+        words = [(*w.span(), NUMERALS[w.group().lower()]) for w in ONE_NUMBER.finditer(text, *run.span())]
+        if p := PLUS.match(text, *run.span()):
+            edits.append((*p.span(), "+"))
+        edits += words
     return edits
 
 
 def _spoken(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in SPOKEN.finditer(text):
-        edits.append((*m.span(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in ONE_DOT.finditer(text, m.end(1), m.end())]
+    """Emails in which "at" or a "dot" is spelled, in any mix with plain ones."""
+    low = text.lower()
+    if not ("@" in text or " at " in low or IN_BRACKETS.search(low)):
+        return []
+    edits, free = [], 0
+    for m in AT_DOMAIN.finditer(text):
+        start, dots = m.start(), []
+        while True:
+            end = start
+            while start > free and text[start - 1] in LOCAL:
+                start -= 1
+            room = max(free, start - DOT_ROOM)
+            d = DOT_BEFORE.search(text[room:start]) if start < end else None
+            if not d or room + d.start() <= free or text[room + d.start() - 1] not in LOCAL:
+                break
+            dots.insert(0, (room + d.start(), start, "."))
+            start = room + d.start()
+        if start == m.start():
+            continue
+        at = m.end(1) if m.group(1) else m.start() + 1
+        dots += [(*d.span(), ".") for d in ONE_DOT.finditer(text, at, m.end())]
+        if not dots and (m.group(1) or "").lower() == " at ":
+            *_, name, last = text[at : m.end()].split(".")
+            if text[start : m.start()].lower() in BEFORE_PLACE or len(last) < 2 or not last.isalpha() or (last.istitle() and name[:1].islower()):
+                continue
+        before = [d for d in dots if d[0] < m.start()]
+        edits += [*before, *([(m.start(1), m.end(1), "@")] if m.group(1) else []), *dots[len(before) :]]
+        free = m.end()
     return edits
 
 
+def _spoken_ip(text: str) -> list[tuple[int, int, str]]:
+    return [(*d.span(), "." if d.group(1) else "") for m in SPOKEN_IP.finditer(text) for d in IN_IP.finditer(text, *m.span())]
+
+
+def _in_brackets(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), "@" if m.group(1).lower() == "at" else ".") for m in IN_BRACKETS.finditer(text)]
+
+
 def disguised(text: str) -> list[Span]:
     """Identifiers of the rewritten text, as places of the source; empty where nothing was to rewrite."""
-    low = text.lower()
-    odd, dots, words = ODD.search(text), "dot" in low or "(at" in low or "[at" in low or "{at" in low, TWO_WORDS.search(text)
-    if not (odd or dots or words):
-        return []
     source = Source(text)
-    if odd:
-        source.rewrite([(*m.span(), _plain(m.group())) for m in ODD.finditer(text)])
-    source.rewrite(_spelled(source.text))
-    source.rewrite(_spoken(source.text))
-    source.rewrite([(d.start(), d.end(), ".") for m in SPOKEN_IP.finditer(source.text) for d in ONE_DOT.finditer(source.text, *m.span())])
-    source.rewrite([(*m.span(), "@" if m.group(1).lower() == "at" else ".") for m in IN_BRACKETS.finditer(source.text)])
+    for edits in (_odd, _spelled, _spoken, _spoken_ip, _in_brackets):
+        source.rewrite(edits(source.text))
     if source.text == text:
         return []
     return [(*source.span(a, b), kind) for a, b, kind in identifiers(source.text)]

@@ -192,6 +192,19 @@ def test_plain_and_disguised_identifiers():
     assert pii.redact("x a@b.cd y", pii.find("x a@b.cd y")[1]) == "x [EMAIL] y"
 
 
+def test_any_mix_of_spelled_and_plain_signs():
+    for text, kind in (
+        ("jane <at> mail.com", "email"), ("jane ( at ) mail.com", "email"), ("jane@mail dot com", "email"), ("jane [at] mail dot com", "email"),
+        ("jane at mail.com", "email"), ("jane (at) mail dot example [dot] com", "email"), ("john dot smith at mail.example dot com", "email"),
+        ("10.0 dot 0 dot 1", "ip"), ("10.0.0.one", "ip"), ("one nine two dot one six eight dot one dot one", "ip"),
+        ("plus 1 eight 4 six 555 five 4 three 2", "phone"), ("4111 one 111 1111 1 one 11", "card"),
+    ):
+        for before, after in (("", ""), ("see ", "."), ("The dot. ", " so")):
+            assert pii.find(before + text + after)[1] == [(len(before), len(before) + len(text), kind)], before + text + after
+    for text in ("look at example.com now", "they stayed at home.The next", "one of 2 or 3 at two", "run at 10.30"):
+        assert pii.find(text)[1] == []
+
+
 def test_base_identifiers_against_the_plain_patterns(texts):
     rng = random.Random(7)
     more = ["".join(rng.choice("a@.1 2-+(4)_%9b") for _ in range(40)) for _ in range(3000)]
