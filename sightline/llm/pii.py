@@ -208,10 +208,10 @@ def _order(spans) -> list[Span]:
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
-    """Plain spans, and plain with disguised ones; a disguised span that meets a plain one of its kind is left out."""
+    """Plain spans, and plain with disguised ones; a disguised span within a plain one of its kind is left out."""
     text = text or ""
     base = identifiers(text)
-    more = [s for s in disguised(text) if not any(b[2] == s[2] and b[0] < s[1] and s[0] < b[1] for b in base)]
+    more = [s for s in disguised(text) if not any(b[2] == s[2] and b[0] <= s[0] and s[1] <= b[1] for b in base)]
     return _order(base), _order({*base, *more})
 
 

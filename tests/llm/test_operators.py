@@ -205,6 +205,19 @@ def test_any_mix_of_spelled_and_plain_signs():
         assert pii.find(text)[1] == []
 
 
+def test_half_disguised_identifiers_are_found_whole():
+    for text, kind in (
+        ("j\u043ehn.smith@example.com", "email"), ("john@example.co [dot] uk", "email"), ("10.0.0.25\uff11", "ip"), ("10.0.0.1\u200b5", "ip"),
+        ("4111 1111 1111 1111 \uff10\uff10", "card"), ("+1 846 555 54 three two", "phone"),
+    ):
+        whole = (4, 4 + len(text), kind)
+        base, spans = pii.find(f"see {text}, then")
+        assert base and whole in spans and {*base} < {*spans}, text
+        assert pii.redact(f"see {text}, then", spans) == f"see [{kind.upper()}], then"
+    base, spans = pii.find("john@example.com or \uff11")
+    assert spans == base
+
+
 def test_base_identifiers_against_the_plain_patterns(texts):
     rng = random.Random(7)
     more = ["".join(rng.choice("a@.1 2-+(4)_%9b") for _ in range(40)) for _ in range(3000)]
