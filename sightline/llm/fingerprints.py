@@ -1,10 +1,10 @@
 """Fingerprints of documents by consistent weighted sampling.
 
-A document is a set of words with their counts as weights.  For each of the samples, every word draws r and c from
-Gamma(2, 1) and b from [0, 1), all from a hash of the word and the sample's number.  With t = floor(ln w / r + b) the word
-has the value ln c - r (t - b + 1), and the word of least value, with its t, is the sample.  Two documents have the
-same sample with the probability of their generalised Jaccard similarity, the sum of the smaller weights over the sum of the
-larger ones.  Everything is columns and SQL functions.
+A document is a set of words with their counts as weights, so of one element for each occurrence of a word: (word, 1) to
+(word, count).  For each of the samples every element draws a uniform value, from a hash of the element and the sample's
+number, and the element of least value is the sample.  Two documents share the elements that the smaller counts give, so they
+have the same sample with the probability of their generalised Jaccard similarity, the sum of the smaller weights over the sum
+of the larger ones.  Counts are whole numbers, so nothing is rounded.  Everything is columns and SQL functions.
 """
 
 from __future__ import annotations
@@ -14,38 +14,14 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLES = 32
+SAMPLES = 64
 CELLS = 256
 MOST_BUCKETS = 1 << 16
 ROWS_IN_BUCKET = 2000
 
 
-def _uniform(h: Column, shift: int) -> Column:
-    """31 bits of a hash as a number between 0 and 1."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 31) - 1)).cast("double") + 0.5) / float(1 << 31)
-
-
-def _gamma(h: Column) -> Column:
-    """A draw from Gamma(2, 1): the sum of two exponential ones."""
-    return -F.log(_uniform(h, 0) * _uniform(h, 31))
-
-
-def _samples(term: str, log_weight: str) -> list[Column]:
-    """One number for each sample: the value in the upper bits, 24 bits that name word and t in the lower."""
-    made = []
-    for k in range(SAMPLES):
-        h = F.xxhash64(F.col(term), F.lit(2 * k))
-        r, c = _gamma(h), _gamma(F.xxhash64(F.col(term), F.lit(2 * k + 1)))
-        b = _uniform(F.xxhash64(h), 0)
-        t = F.floor(F.col(log_weight) / r + b)
-        value = F.floor((F.log(c) - r * (t - b + 1)) * float(1 << 24))
-        name = (F.shiftrightunsigned(h, 24) + t * 40503).bitwiseAND(F.lit((1 << 24) - 1))
-        made.append(F.shiftleft(value, 24).bitwiseOR(name))
-    return made
-
-
 def _terms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, term, log_weight): hash and log of the count of each word; texts without a word have one row with null."""
+    """(keys, term): a hash of each word and number of its occurrence; texts without a word have one row with null."""
     words = F.filter(F.split(F.translate(F.col(text), "\n\r\t", "   "), " "), lambda w: w != "")
     hashed = df.select(*keys, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("hs"))
     n = F.size("hs")
@@ -55,12 +31,18 @@ def _terms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(1))),
         lambda s, i: F.struct(F.get("hs", s).alias("term"), (F.get("at", i + 1) - s).alias("weight")),
     )
-    return runs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.term", F.log(F.col("p.weight").cast("double")).alias("log_weight"))
+    words = runs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.term", F.explode_outer(F.sequence(F.lit(1), "p.weight")).alias("nth"))
+    return words.select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term", "nth")).alias("term"))
+
+
+def _draw(term: str, k: int) -> Column:
+    """A number for an element and a sample: what is compared in the upper bits, what names the element in the lower."""
+    return F.when(F.col(term).isNotNull(), F.xxhash64(F.col(term), F.lit(k)))
 
 
 def signatures(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """(keys, sig) with one row for each value of the keys; sig has SAMPLES numbers of 16 bits, null without a word."""
-    drawn = _terms(df, text, keys).groupBy(*keys).agg(*(F.min(s).alias(f"s{k}") for k, s in enumerate(_samples("term", "log_weight"))))
+    drawn = _terms(df, text, keys).groupBy(*keys).agg(*(F.min(_draw("term", k)).alias(f"s{k}") for k in range(SAMPLES)))
     sig = F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(SAMPLES)))
     return drawn.select(*keys, F.when(F.col("s0").isNotNull(), sig).alias("sig"))
 

@@ -111,6 +111,20 @@ def test_near_edited_is_near_the_weighted_jaccard(spark, texts):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.1
 
 
+def test_likeness_has_the_error_of_64_samples(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for i in range(400):
+        x, y = ({f"w{i}x{j}": rng.choice((1, 1, 2, 5)) for j in js} for js in (range(40), range(12, 52)))
+        y |= {w: n for w, n in x.items() if w in y and rng.random() < 0.7}
+        want[i] = sum((Counter(x) & Counter(y)).values()) / sum((Counter(x) | Counter(y)).values())
+        rows += [(i, v, " ".join(w for w, n in c.items() for _ in range(n))) for v, c in ((0, x), (1, y))]
+    sigs = fingerprints.signatures(spark.createDataFrame(rows, "i int, v int, t string"), "t", ["i", "v"])
+    a, b = (sigs.where(F.col("v") == v).select("i", F.col("sig").alias(f"s{v}")) for v in (0, 1))
+    found = {r["i"]: r["x"] for r in a.join(b, "i").select("i", fingerprints.likeness(F.col("s0"), F.col("s1")).alias("x")).collect()}
+    errors = [found[i] - want[i] for i in want]
+    assert 0.3 < np.mean(list(want.values())) < 0.7 and abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.07
+
+
 def test_links_of_near_copies_in_a_hot_group(spark):
     rng, base = random.Random(3), [f"w{i}" for i in range(60)]
     made = {0: " ".join(base), 1: " ".join(base)}
