@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,12 +38,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a frame to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Delete a stored table that nothing reads any more."""
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+HOT_SHARE = 1024
+
+
+def joined_counts(rows: DataFrame, counts: DataFrame, keys: list[str], n_rows: str, total: int, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``counts``, which has one row for each key; null keys are equal.
+
+    ``n_rows`` of ``counts`` says how many of the ``total`` rows hold the key.  A key with more than 1 / HOT_SHARE of them
+    meets a broadcast, of fewer than HOT_SHARE rows; its own rows are then dealt by ``spread``, so that no task gets all.
+    """
+    made = [c for c in counts.columns if c not in keys]
+    shared = counts.withColumn("__hot", F.col(n_rows) * HOT_SHARE > total)
+
+    def renamed(df: DataFrame, mark: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{mark}{c}") for c in df.columns])
+
+    def equal(left: DataFrame, right: DataFrame, mark: str) -> Column:
+        return reduce(and_, [left[k].eqNullSafe(right[f"{mark}{k}"]) for k in keys])
+
+    hot, rest = renamed(shared.where("__hot"), "__h_"), renamed(shared.where("NOT __hot"), "__r_").withColumn("__r_deal", F.lit(0))
+    found = rows.join(F.broadcast(hot), equal(rows, hot, "__h_"), "left")
+    met = F.col("__h___hot").isNotNull()
+    found = found.withColumn("__deal", F.when(met, 1 + F.pmod(F.xxhash64(spread), F.lit(HOT_SHARE))).otherwise(0).cast("int"))
+    both = found.join(rest, equal(found, rest, "__r_") & (F.col("__deal") == F.col("__r_deal")), "left")
+    values = [F.when(met, F.col(f"__h_{c}")).otherwise(F.col(f"__r_{c}")).alias(c) for c in made]
+    return both.select(*[both[c] for c in rows.columns], *values)
 
 
 def id_crc(id_col: str) -> Column:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, knn_join, language_id, line_dedup, ngram_join, packing, pii, piece_codec, sharding, toxicity
+from . import (
+    fingerprints, knn_join, language_id, line_dedup, ngram_join, packing, pii, piece_codec, secret_scan, sharding, token_alignment, toxicity,
+    vector_codes,
+)
 from .common import id_crc, table
 
 
@@ -42,14 +45,18 @@ def op5_knn_join(spark, sf_dir):
     return knn_join.nearest_by_product(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
-def op6_pii(spark, sf_dir):
-    found = pii.find_pii(table(spark, sf_dir, "documents"))
+def _digests(found, names):
+    """Counts of the plain spans of each kind, a digest of them, and all spans as text."""
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     kinds = F.transform("base", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in names]
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op6_pii(spark, sf_dir):
+    return _digests(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -70,6 +77,19 @@ def op10_sharding(spark, sf_dir):
     )
 
 
+def op11_secret_scan(spark, sf_dir):
+    return _digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS)
+
+
+def op12_token_alignment(spark, sf_dir):
+    docs, a, b = table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")
+    return token_alignment.align_tokens(docs, a, b, with_groups=False)[0]
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -128,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_fingerprints, op3_ngram_join, op4_toxicity, op5_knn_join, op6_pii, op7_line_dedup, op8_packing,
-        op9_piece_codec, op10_sharding, pipeline,
+        op9_piece_codec, op10_sharding, op11_secret_scan, op12_token_alignment, op13_vector_codes, pipeline,
     )
 }
 ORACLE_SQL = {"op3_ngram_join": OP3_SQL, "op5_knn_join": OP5_SQL, "op7_line_dedup": OP7_SQL}
