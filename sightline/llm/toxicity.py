@@ -1,14 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled texts: one of ordinary words, one that also holds what toxic texts
-say and ordinary ones do not.  Each window of a text, a word in a fixed context, is compressed with both; where the
-toxic dictionary saves bytes, the window reads like toxic text.  Thresholds and weights for how many windows save how
-many bytes are fitted on labelled texts that the dictionaries were not made from.
+Two zstandard dictionaries are trained separately, one on ordinary text, one on what toxic texts say and ordinary ones do
+not.  Each window of a text, 128 bytes that overlap by half, is compressed twice: primed with the ordinary dictionary,
+and with the toxic one behind it.  The bytes that the second saves tell toxic windows.  How many windows must save how
+many bytes is calibrated on labelled texts that the dictionaries were not trained on.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections import Counter
@@ -20,16 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bounded, held, per_row
+from .common import held, per_row
 
 WORD = re.compile(rb"[^\x00-\x20.,;:!?|*#$&%\"()<>\[\]{}=]+")
-WINDOW = 48  # bytes of a word in one window; longer words make several
-GRAM = 6
-ORDINARY_BYTES = 16_000
-TOXIC_BYTES = 12_000
-STEPS = (2, 3, 4, 6)  # bytes saved
-CACHED = 300_000
+WINDOW, STEP = 128, 64  # bytes
+TRAINING_WINDOW = 512
+ORDINARY_BYTES, ORDINARY_SEGMENT = 110_000, 64
+TOXIC_BYTES, TOXIC_SEGMENT = 1_024, 16
+GRAM = 6  # bytes that the trainer counts as one
+TELLING_SHARE = 0.03  # of the toxic texts, at least two, hold a telling word
+TELLING_RATIO = 20.0  # a telling word is so many times as frequent in toxic texts as in ordinary ones
+LONGEST_WORD = 48
+STEPS = (2, 3, 5)  # bytes saved in a window
 REACH = 6.0  # standard deviations a feature counts for at most
+TAIL = b" . . . . . . . . "  # the compressor looks for no matches in its last bytes
 
 
 @dataclass
@@ -41,59 +44,54 @@ class Model:
     weights: np.ndarray
 
 
-def windows(text: str | None) -> list[bytes]:
-    words = WORD.findall((text or "").lower().encode("utf-8", "replace"))
-    if any(len(w) > WINDOW for w in words):
-        words = [w[i : i + WINDOW] for w in words for i in range(0, len(w), WINDOW)]
-    return words
+def normal(text: str | None) -> bytes:
+    """Lower case, one blank between words and at either end."""
+    return b" %b " % b" ".join((text or "").lower().encode("utf-8", "replace").split())
 
 
-def _counts(texts: list[list[bytes]], of) -> Counter:
-    seen: Counter = Counter()
-    for words in texts:
-        seen.update(of(words))
-    return seen
+def windows(content: bytes, length: int = WINDOW, step: int = STEP) -> list[bytes]:
+    """Slices of one length that overlap and cover the whole; the last may be shorter."""
+    return [content[i : i + length] for i in range(0, max(1, len(content) - length + step), step)]
 
 
-def _grams(words) -> set[bytes]:
-    return {w[i : i + GRAM] for w in {b" " + w for w in words} for i in range(len(w) - GRAM + 1)}
+def train(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A zstandard dictionary of so many bytes; where there is too little to train on, the samples themselves."""
+    whole = b"".join(samples)
+    if len(whole) > 2 * size:
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=GRAM).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return whole[-size:]
 
 
-def segments(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: int = 6, contrast: float = 20.0) -> bytes:
-    """Runs of grams that are common in toxic texts and rare in ordinary ones, the most telling last."""
-    t, o = _counts(toxic, _grams), _counts(ordinary, _grams)
-    lift = {
-        g: ratio
-        for g, n in t.items()
-        if n >= least and (ratio := (n + 0.5) / (len(toxic) + 1) / ((o[g] + 0.5) / (len(ordinary) + 1))) > contrast
-    }
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Toxic texts cut down to the words that recur in toxic texts and are far rarer in ordinary ones."""
 
-    def runs(words) -> set[bytes]:
-        found = set()
-        for w in {b" " + w for w in words}:
-            at, last = 0, len(w) - GRAM
-            while at <= last:
-                end = at
-                while end <= last and w[end : end + GRAM] in lift:
-                    end += 1
-                if end > at:
-                    found.add(w[at : end - 1 + GRAM])
-                at = max(end, at + 1)
-        return found
+    def in_texts(texts: list[bytes]) -> Counter:
+        seen: Counter = Counter()
+        for t in texts:
+            seen.update(set(WORD.findall(t)))
+        return seen
 
-    tally = _counts(toxic, runs)
-    worth = {s: n * np.log(max(lift[s[i : i + GRAM]] for i in range(len(s) - GRAM + 1))) for s, n in tally.items() if n >= least}
-    return b"".join(sorted(worth, key=lambda s: (worth[s], s)))[-TOXIC_BYTES:]
+    t, o, least = in_texts(toxic), in_texts(ordinary), max(2, TELLING_SHARE * len(toxic))
+    known = {
+        w
+        for w, n in t.items()
+        if n >= least and len(w) <= LONGEST_WORD and (n + 0.5) / (len(toxic) + 1) >= TELLING_RATIO * (o[w] + 0.5) / (len(ordinary) + 1)
+    }
+    cut = (b" ".join(w for w in WORD.findall(x) if w in known) for x in toxic)
+    return [b" %b " % x for x in cut if x]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        compression_level=3, strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=16, chain_log=17, search_log=6,
-        min_match=3, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0,
+        compression_level=3, strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=16, chain_log=17, search_log=7, min_match=5,
+        target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
-    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    held.precompute_compress(compression_params=params)
-    return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
+    primed = zstandard.ZstdCompressionDict(content or TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=primed, compression_params=params)
 
 
 class Scorer:
@@ -102,27 +100,24 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.plain, self.marked = _compressor(model.ordinary), _compressor(model.ordinary + model.toxic)
-        self.context = model.ordinary[-40:-12]
-        self.saved = Bounded(CACHED)
 
-    def gains(self, text: str | None) -> np.ndarray:
-        words, saved = windows(text), self.saved
-        saved.make_room()
-        for w in [w for w in set(words) if w not in saved]:
-            x = self.context + b" " + w + b" "
-            saved[w] = max(-2, min(12, len(self.plain.compress(x)) - len(self.marked.compress(x))))
-        return np.fromiter(map(saved.__getitem__, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
+    def gains(self, content: bytes) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window."""
+        plain, marked = self.plain.compress, self.marked.compress
+        return np.array([len(plain(x)) - len(marked(x)) for x in (w + TAIL for w in windows(content))], np.int64)
 
     def features(self, text: str | None) -> list[float]:
-        g = self.gains(text)
+        content = normal(text)
+        g = self.gains(content)
         n, hits = len(g), [float((g >= k).sum()) for k in STEPS]
+        total, size = float(g.sum()), len(content) + 200.0
         return [
-            float(g.max()), *(min(h, 5.0) for h in hits), *(h / (n + 5) for h in hits), *(h / (n + 5) ** 0.5 for h in hits),
-            float(np.log(n)),
+            float(g.max()), float(np.sort(g)[-3:].sum()), total, total / size, total / size**0.5,
+            *hits, *(h / n for h in hits), *(h / n**0.5 for h in hits), float(np.log(size)),
         ]
 
     def score(self, text: str | None) -> float:
-        if not windows(text):
+        if not WORD.search(normal(text)):
             return 0.0
         m = self.model
         z = np.clip((np.array(self.features(text)) - m.mean) / m.spread, -REACH, REACH)
@@ -130,24 +125,25 @@ class Scorer:
 
 
 def fit(examples: list[tuple[str, int]]) -> Model | None:
-    """Dictionaries from two thirds of the texts, weights from the rest; None where a label is missing.
+    """Dictionaries from two thirds of the texts, thresholds' weights from the rest; None where a label is missing.
 
-    Which third a text is in depends on the text alone, so copies of a text never are on both sides.
+    Which third a text is in depends on the text alone, so copies of a text never are on both sides.  Copies count once.
     """
     aside = [zlib.crc32((t or "").encode("utf-8", "replace")) % 3 == 0 for t, _ in examples]
-    made = [(windows(t), y) for (t, y), a in zip(examples, aside, strict=True) if not a]
-    toxic, ordinary = [w for w, y in made if y], [w for w, y in made if not y]
+    toxic, ordinary = (
+        list(dict.fromkeys(normal(t) for (t, y), a in zip(examples, aside, strict=True) if not a and bool(y) == want)) for want in (True, False)
+    )
     checks = [e for e, a in zip(examples, aside, strict=True) if a]
     if not toxic or not ordinary or len({y for _, y in checks}) < 2:
         return None
-    common = _counts(ordinary, set)
-    usual = b" ".join(heapq.nsmallest(6000, common, key=lambda w: (-common[w], w))[::-1])[-ORDINARY_BYTES:]
-    model = Model(usual, segments(toxic, ordinary), np.zeros(14), np.ones(14), np.zeros(15))
+    usual = train([w for t in ordinary for w in windows(t, TRAINING_WINDOW, TRAINING_WINDOW)], ORDINARY_BYTES, ORDINARY_SEGMENT)
+    marked = telling(toxic, ordinary) or [w for t in toxic for w in windows(t, TRAINING_WINDOW, TRAINING_WINDOW)]
+    model = Model(usual, train(marked, TOXIC_BYTES, TOXIC_SEGMENT), np.zeros(1), np.ones(1), np.zeros(1))
     scorer = Scorer(model)
     x = np.array([scorer.features(t) for t, _ in checks])
     y = np.array([label for _, label in checks], float)
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[(x - model.mean) / model.spread, np.ones(len(x))]
+    z = np.c_[np.clip((x - model.mean) / model.spread, -REACH, REACH), np.ones(len(x))]
     w = np.zeros(z.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
@@ -159,7 +155,10 @@ def fit(examples: list[tuple[str, int]]) -> Model | None:
 def sample(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, toxic_rows: int, other_rows: int
 ) -> list[tuple[str, int]]:
-    """(text, label) of at most so many rows of either label, chosen by a hash of the id; labels that differ: toxic."""
+    """(text, label) of at most so many ids of either label, chosen by a hash of the id; labels that differ: toxic.
+
+    An id that several rows have gives one of their texts.
+    """
     of = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     of = of.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     label = {}
@@ -167,7 +166,7 @@ def sample(
         label |= {r["id"]: y for r in of.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most).collect()}
     if not label:
         return []
-    rows = docs.where(F.col(id_col).isin(list(label))).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    rows = docs.where(F.col(id_col).isin(list(label))).groupBy(F.col(id_col).alias("i")).agg(F.min(text_col).alias("t"))
     return [(t, label[i]) for i, t in sorted((r["i"], r["t"] or "") for r in rows.collect())]
 
 

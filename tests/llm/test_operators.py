@@ -178,6 +178,32 @@ def test_toxic_words_are_learned():
     assert 0 <= scorer.score(None) == scorer.score("") < 0.7
 
 
+def test_toxic_texts_of_the_held_out_fold_are_found(spark):
+    # half of the texts that are labelled toxic hold none of the words that make the others so
+    large = "/root/testdata/sf0.1"
+    rows = queries.op4_toxicity(spark, large).join(common.table(spark, large, "labels"), "doc_id").join(
+        common.table(spark, large, "documents").select("doc_id", "text"), "doc_id").where("held_out").collect()
+    signs = re.compile("idiot|scum|moron|disgusting|worthless|clown|loser|trash|stupid|pathetic", re.I)
+    found = [r["predicted"] for r in rows if r["toxic"] and signs.search(r["text"])]
+    others = [r["predicted"] for r in rows if not r["toxic"]]
+    assert np.mean(found) >= 0.85 and np.mean(others) <= 0.02
+
+
+@pytest.mark.parametrize("words", [["scum"], ["vile", "slob", "oaf"], ["trashy"]])
+def test_short_toxic_words_are_found(words):
+    rng, syllables = random.Random(11), ["tha", "re", "on", "ing", "ent", "or", "hou", "st", "an", "wh", "ly", "ble"]
+    examples = []
+    for i in range(900):
+        text = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(60, 300))]
+        if i % 4 == 0:
+            for _ in range(5):
+                text[rng.randrange(len(text))] = rng.choice(words)
+        examples.append((" ".join(text), int(i % 4 == 0)))
+    scorer = toxicity.Scorer(toxicity.fit(examples[:600]))
+    hits, alarms = ([scorer.score(t) >= 0.7 for t, y in examples[600:] if y == want] for want in (1, 0))
+    assert np.mean(hits) >= 0.9 and np.mean(alarms) <= 0.02
+
+
 def test_products_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(v) for v in rng.normal(size=6).round(2)]) for i in range(300)] + [(300, None), (301, [None] * 6), (302, [float("nan")] * 6), (303, [1.0])]
@@ -245,6 +271,12 @@ def test_base_identifiers_against_the_plain_patterns(texts):
         assert sorted(pii.identifiers(t)) == sorted(want), t
 
 
+def test_addresses_with_long_runs_of_zeros():
+    for text in ("1." + "0" * 5000 + ".2.3", "0" * 6000 + "1.2.3.0"):
+        assert pii.find(text) == ([(0, len(text), "ip")],) * 2
+    assert pii.find("1." + "0" * 5000 + "999.2.3")[0] == [] and pii.find("dot ".join(["one "] * 3) + "dot " + "0" * 5000)[0] == []
+
+
 def test_packing_keeps_every_id_once(docs, texts):
     from tokenizers import Tokenizer
 
