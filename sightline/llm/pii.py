@@ -90,7 +90,7 @@ def identifiers(text: str) -> list[Span]:
     found = _emails(text) if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if m.group(1) and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if m.group(1) and all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m.group().split("."))):
                 found.append((*m.span(), "ip"))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m.group())) <= 19 and luhn(d):
