@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,7 @@ CONTEXT = 256  # code points on either side that prime the compressor
 NOVELTY = 0.75  # bytes added for each byte of the candidate, from which it is reported
 DICTIONARY_WORDS = 4000
 DICTIONARY_BYTES = 32_000
+DICTIONARY_PARTS = 16
 TAIL = b"\n\n# end of the excerpt\n"  # the compressor looks for no matches in its last bytes
 
 
@@ -135,7 +136,10 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", words: int =
     found = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z0-9_]++"), F.lit(0)))
     names = docs.select(F.explode(found).alias("w")).where(F.col("w").rlike("^[A-Za-z_]{4,24}$"))
     counted = names.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    top = [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(words).collect()]
+    # each of a few parts is cut to the words that can matter, so that what the driver gets does not grow with the tasks
+    part = Window.partitionBy(F.pmod(F.xxhash64("w"), F.lit(DICTIONARY_PARTS))).orderBy(F.desc("n"), "w")
+    most_frequent = counted.withColumn("place", F.row_number().over(part)).where(F.col("place") <= words)
+    top = [r["w"] for r in most_frequent.orderBy(F.desc("n"), "w").limit(words).collect()]
     return " ".join(reversed(top)).encode()[-most:]
 
 
