@@ -163,7 +163,7 @@ _SIGNALS = {
     "meta_description": "CASE WHEN meta THEN 'about us' END", "canonical": "CASE WHEN meta THEN 'https://x.example/' END",
     "lang": "CASE WHEN full_page THEN nullif(regexp_extract(clean, '<html lang=\"([^\"]*)\"', 1), '') END",
     "noindex": "full_page AND p % 19 = 0", "og_present": "meta", "has_feed": "meta",
-    "jsonld_types": "CASE WHEN full_page AND p % 4 = 0 THEN 'Organization' WHEN full_page AND p % 4 = 1 THEN 'WebSite,Article,Thing' ELSE '' END",
+    "jsonld_types": "CASE WHEN full_page AND p % 4 = 0 THEN 'Organization' WHEN full_page AND p % 4 = 1 THEN 'Recipe,Article,Course' ELSE '' END",
     "jsonld_blocks": "(full_page AND p % 4 < 3)::BIGINT", "jsonld_invalid": "(full_page AND p % 4 = 2)::BIGINT",
     "has_organization": "full_page AND p % 4 = 0", "org_logo": "full_page AND p % 4 = 0", "org_sameas": "(full_page AND p % 4 = 0)::BIGINT",
     "has_about_link": "about", "has_contact_link": "contact", "has_dates": "full_page AND (p % 4 = 1 OR p % 6 = 0)",

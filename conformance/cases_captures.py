@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import captures as C
 from sightline.operators import validation as V
+from sightline.plans.aggregate import aggregate_runs
 from sightline.plans.artifact import run_artifact, write_artifacts
 from sightline.schemas import DOMAIN_STATS, METRIC_COLUMNS, METRICS, RESULTS, AUDITS
 from sightline.session import scratch_path
@@ -225,16 +226,21 @@ def _tally(raw):
     return present(both.groupBy("what").agg(F.count(F.lit(1)).alias("n")))
 
 
+ARRAY_ROWS = 2000
+
+
 def _read_arrays(d: Derived):
-    """Captures landed as JSON array files, one per month and engine, and read back."""
+    """Captures landed as JSON array files of so many rows each, and read back."""
     path = scratch_path(d.spark, "arrays")
-    # a chunk is what one worker sends: the questions of one run with the same last digits
-    chunks = d.capture_bodies.groupBy("run_id", (F.col("id") % 50).alias("chunk")).agg(
-        F.concat(F.lit("["), F.array_join(F.collect_list("body"), ","), F.lit("]")).alias("value"))
-    chunks.groupBy((F.col("run_id") % 40).alias("file"), (F.col("run_id") % 3).alias("sub")).agg(
-        F.concat(F.lit("["), F.array_join(F.collect_list(F.expr("substring(value, 2, length(value) - 2)")), ","), F.lit("]")).alias("value")
-    ).select("file", "sub", "value").write.partitionBy("file", "sub").text(path)
-    return _tally(T.read_captures(d.spark, path).withColumn("run_id", F.lit(0)))
+    rows = d.capture_bodies.select("id", "body", F.expr(f"id DIV {ARRAY_ROWS}").alias("file"))
+    first = rows.groupBy("file").agg(F.min("id").alias("first"))
+    lines = rows.join(first, "file").select("file", "id", F.concat(F.when(F.col("id") == F.col("first"), "[").otherwise(","), "body").alias("value"))
+    ends = first.select("file", F.lit(2**62).alias("id"), F.lit("]").alias("value"))
+    (lines.unionByName(ends).repartition("file").sortWithinPartitions("file", "id").select("file", "value")
+     .write.partitionBy("file").text(path))
+    read = T.read_captures(d.spark, path)
+    text = lambda k: F.try_variant_get("raw", f"$.{k}", "string").alias(k)
+    return present(read.select(F.regexp_extract("file", r"/file=(\d+)/", 1).alias("file"), "index", *map(text, ("query", "lens", "engine", "captured_at"))))
 
 
 def _read_lines(d: Derived):
@@ -245,7 +251,10 @@ def _read_lines(d: Derived):
 
 
 _TALLY = "SELECT CASE WHEN field IS NULL THEN 'ok' ELSE 'error' END AS what, count(*) AS n FROM bad GROUP BY ALL"
-case("read_captures", _read_arrays, _TALLY, _BADX)
+case("read_captures", _read_arrays,
+     f"""SELECT (id // {ARRAY_ROWS})::VARCHAR AS file, row_number() OVER (PARTITION BY id // {ARRAY_ROWS} ORDER BY id) - 1 AS index,
+     CASE WHEN id % 41 <> 0 THEN query END AS query, CASE WHEN id % 43 = 0 THEN 'promo' ELSE lens END AS lens, engine,
+     CASE WHEN id % 47 = 0 THEN 'soon' ELSE strftime(captured_at, '%Y-%m-%dT%H:%M:%SZ') END AS captured_at FROM cap_raw""")
 case("read_capture_lines", _read_lines, _TALLY, _BADX)
 
 
@@ -270,6 +279,32 @@ case("rebuild_domain_stats", lambda d: present(_rebuild(d, "stats"), "run_id", "
      "SELECT run_id, lens, domain, appearances_sources::BIGINT + (run_id % 3 = 0)::BIGINT AS appearances_sources FROM stats WHERE run_id % 9 <> 0")
 
 
+def _aggregated(d: Derived):
+    """All runs aggregated, then those of one day of seven anew with changed captures; both stored tables as they read."""
+    root = scratch_path(d.spark, "aggregate")
+    paths = f"{root}/metrics", f"{root}/stats"
+    aggregate_runs(d.captures.where("id % 2 = 0"), d.runs, d.brands, *paths)
+    aggregate_runs(d.captures, d.runs.where("run_id % 3 <> 0"), d.brands, *paths)
+    aggregate_runs(d.captures, d.runs.where("run_id % 3 = 0"), d.brands, *paths)
+    metrics, stats = T.read_runs(d.spark, paths[0], METRICS), T.read_runs(d.spark, paths[1], DOMAIN_STATS)
+    none = F.lit(None)
+    return present(metrics.select(
+        "run_id", "brand_id", "engine", "lens", none.cast("string").alias("domain"), none.cast("boolean").alias("is_brand"),
+        "n_queries", "n_overviews", "n_in_sources", "n_cited", "avg_source_position", "avg_citation_position",
+    ).unionByName(stats.select(
+        "run_id", "brand_id", "engine", "lens", "domain", "is_brand", F.col("appearances_sources").alias("n_queries"),
+        F.col("appearances_citations").alias("n_overviews"), F.col("sum_min_source_rank").cast("bigint").alias("n_in_sources"),
+        F.col("sum_min_citation_rank").cast("bigint").alias("n_cited"), "avg_source_position", "avg_citation_position")))
+
+
+case("aggregate_run", _aggregated,
+     """SELECT run_id, brand_id, engine, lens, NULL::VARCHAR AS domain, NULL::BOOLEAN AS is_brand, n_queries::BIGINT AS n_queries, n_overviews::BIGINT AS n_overviews,
+     n_in_sources::BIGINT AS n_in_sources, n_cited::BIGINT AS n_cited, round(avg_source_position, 6) AS avg_source_position,
+     round(avg_citation_position, 6) AS avg_citation_position FROM metrics_new
+     UNION ALL SELECT run_id, brand_id, engine, lens, domain, is_brand, appearances_sources::BIGINT, appearances_citations::BIGINT, sum_min_source_rank::BIGINT,
+     sum_min_citation_rank::BIGINT, round(avg_source_position, 6), round(avg_citation_position, 6) FROM stats""")
+
+
 def _audit_store(d: Derived):
     path = scratch_path(d.spark, "audits")
     T.append_audits(d.audits.where("audit_id % 2 = 0"), path)

@@ -9,6 +9,7 @@ from sightline.session import scratch_path
 from sightline.sources import tables as T
 from sightline.streaming import stream_captures, stream_dedupe, stream_live_counts, stream_weekly_trend
 
+from .cases_measures import WEEKLY_SQL
 from .derived import Derived
 from .oracle import with_ctes
 from .present import present
@@ -27,13 +28,15 @@ _EVENT_SQL = {
 }
 
 
-def _arrivals(d: Derived):
-    """Events as arriving captures: a stream of files, one a batch, in an order that is not that of their times."""
-    path = scratch_path(d.spark, "arrivals")
-    events = d.given("events")
-    for part in (2, 0, 1):  # by months, so that whole files come late
-        events.where(F.month("ts") % 3 == part).coalesce(1).write.mode("append").parquet(path)
-    stream = d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _in_parts(d: Derived, rows, name: str, part, stream_of, run):
+    """Rows landed in three parts, a stream followed to its end after each: what comes later belongs anywhere."""
+    path = scratch_path(d.spark, name)
+    for number in (2, 0, 1):
+        rows.where(part % 3 == number).write.mode("append").parquet(path)
+        run(stream_of(d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)))
+
+
+def _as_captures(stream):
     lens = F.when(F.col("event_type") == "view", "general").when(F.col("event_type") == "click", "branded")
     return stream.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("run_id"),
@@ -44,35 +47,40 @@ def _arrivals(d: Derived):
 
 
 def _deduped(d: Derived):
-    """The arrivals stored once a key."""
+    """Events as arriving captures, by months, so that whole parts come late; stored once a key."""
     out = scratch_path(d.spark, "dedupe")
-    stream_dedupe(_arrivals(d), out, out + "-state").awaitTermination()
+    _in_parts(d, d.given("events"), "arrivals", F.month("ts"), _as_captures, lambda s: stream_dedupe(s, out, out + "-state").awaitTermination())
     return d.spark.read.parquet(out)
 
 
-def _to_latest(d: Derived, df, name: str, keys: list[str]):
-    """Run an update stream to its end; every batch writes what changed, the newest row of a key counts."""
+def _to_latest(d: Derived, rows, name: str, part, stream_of, keys: list[str]):
+    """Run an update stream to its end after each part; every batch writes what changed, the newest row of a key counts."""
     out = scratch_path(d.spark, name)
 
     def store(batch, batch_no: int) -> None:
         batch.withColumn("batch_no", F.lit(batch_no)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(out)
 
-    df.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", out + "-state").trigger(
-        availableNow=True).start().awaitTermination()
-    rest = [c for c in df.columns if c not in keys]
-    rows = d.spark.read.parquet(out)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("_r")).select(*keys, "_r.*")
+    def run(changed) -> None:
+        changed.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", out + "-state").trigger(
+            availableNow=True).start().awaitTermination()
+
+    _in_parts(d, rows, name + "-in", part, stream_of, run)
+    found = d.spark.read.parquet(out)
+    rest = [c for c in found.columns if c not in (*keys, "batch_no")]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("_r")).select(*keys, "_r.*")
 
 
 case("stream_dedupe",
      lambda d: present(_deduped(d).groupBy("run_id", "query", "lens").agg(F.count(F.lit(1)).alias("n"))),
      "SELECT DISTINCT run_id, query, lens, 1::BIGINT AS n FROM arrivals", _EVENT_SQL)
-case("stream_live_counts", lambda d: present(_to_latest(d, stream_live_counts(_arrivals(d)), "live", ["run_id"])),
+case("stream_live_counts",
+     lambda d: present(_to_latest(d, d.given("events"), "live", F.month("ts"), lambda s: stream_live_counts(_as_captures(s)), ["run_id"])),
      "SELECT run_id, count(*) AS n_ok FROM arrivals GROUP BY run_id", _EVENT_SQL)
-case("stream_weekly_trend", lambda d: present(_to_latest(d, stream_weekly_trend(_arrivals(d)), "weekly", ["monday", "lens"])),
-     """SELECT strftime(date_trunc('week', captured_at), '%Y-%m-%d') AS monday, lens, count(*) AS n_queries,
-     count(*) FILTER (overview_present) AS n_overviews FROM arrivals GROUP BY ALL""", _EVENT_SQL)
+case("stream_weekly_trend",
+     lambda d: present(_to_latest(
+         d, d.captures, "weekly", F.col("id"), lambda s: stream_weekly_trend(s, d.runs), ["brand_id", "engine", "lens", "week", "monday"])),
+     WEEKLY_SQL.replace("FROM metrics m JOIN", "FROM (SELECT * FROM metrics_new WHERE n_queries > 0) m JOIN"))
 
 
 def _stream_captures(d: Derived):

@@ -26,12 +26,8 @@ def with_positions(df: DataFrame) -> DataFrame:
     )
 
 
-def domain_leaderboard(captures: DataFrame, runs: DataFrame, brands: DataFrame) -> DataFrame:
-    """Appearances and rank sums per (run, lens or ``all``, domain) over shown overviews.
-
-    A domain counts once per answer with its best rank.  That reduction happens inside the row, so only
-    (run, lens, domain) sums leave a map task; ``all`` is added up from those sums.
-    """
+def domain_places() -> Column:
+    """Domains of an answer as (domain, source_rank, citation_rank), once for each channel, with the best rank there."""
     def tagged(channel: str) -> Column:
         return F.transform(
             domain_best_ranks(F.col(channel)),
@@ -43,11 +39,16 @@ def domain_leaderboard(captures: DataFrame, runs: DataFrame, brands: DataFrame)
         )
 
     none = F.array().cast("array<struct<domain: string, source_rank: int, citation_rank: int>>")
-    rows = overview_gate(captures).select(
-        "run_id",
-        "lens",
-        F.inline(F.concat(F.coalesce(tagged("sources"), none), F.coalesce(tagged("citations"), none))),
-    )
+    return F.concat(F.coalesce(tagged("sources"), none), F.coalesce(tagged("citations"), none))
+
+
+def domain_leaderboard(captures: DataFrame, runs: DataFrame, brands: DataFrame) -> DataFrame:
+    """Appearances and rank sums per (run, lens or ``all``, domain) over shown overviews.
+
+    A domain counts once per answer with its best rank.  That reduction happens inside the row, so only
+    (run, lens, domain) sums leave a map task; ``all`` is added up from those sums.
+    """
+    rows = overview_gate(captures).select("run_id", "lens", F.inline(domain_places()))
     lenses = rows.groupBy("run_id", "lens", "domain").agg(
         F.count("source_rank").alias("appearances_sources"),
         F.count("citation_rank").alias("appearances_citations"),
@@ -59,6 +60,11 @@ def domain_leaderboard(captures: DataFrame, runs: DataFrame, brands: DataFrame)
         .groupBy("run_id", "lens", "domain")
         .agg(*[F.sum(c).alias(c) for c in _ADDITIVE])
     )
+    return board_of_scopes(scopes, runs, brands)
+
+
+def board_of_scopes(scopes: DataFrame, runs: DataFrame, brands: DataFrame) -> DataFrame:
+    """Leaderboard rows out of the additive state of each scope and domain."""
     owners = runs.select("run_id", "brand_id", "engine").join(
         brands.select("brand_id", normalize_domain(F.col("domain")).alias("brand_domain")), "brand_id", "left"
     )

@@ -67,7 +67,11 @@ def run_metrics(captures: DataFrame, runs: DataFrame) -> DataFrame:
     """
     lenses = scope_state(captures)
     scoped = lenses.withColumn("lens", F.explode(F.array(F.col("lens"), F.lit(ALL))))
-    scopes = scoped.groupBy("run_id", "lens").agg(*[F.sum(s).alias(s) for s in STATE])
+    return metrics_of_scopes(scoped.groupBy("run_id", "lens").agg(*[F.sum(s).alias(s) for s in STATE]), runs)
+
+
+def metrics_of_scopes(scopes: DataFrame, runs: DataFrame) -> DataFrame:
+    """Metric rows out of the additive state of each scope."""
     every_run = runs.select("run_id", "brand_id", "engine").join(scopes, "run_id", "left")
     filled = every_run.select(
         "run_id", "brand_id", "engine",

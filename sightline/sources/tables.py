@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize_target
 from ..functions.text import brand_match_key, normalize_brand_name
 from ..operators.captures import CAPTURE_KEY
 from ..operators.skew import first_per_key
+from .arrays import read_array
 from ..schemas import ALL, AUDITS, DOMAIN_STATS, FETCH_KINDS, LENS_SENTIMENT, LENSES, METRICS, QUESTIONS
 
 # Tables keyed by run are stored in a fixed number of folders, not one per run: millions of runs with a
@@ -22,17 +25,11 @@ def run_bucket(run_id: Column | str, buckets: int = RUN_BUCKETS) -> Column:
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Capture objects of JSON array files as (file, index, raw VARIANT).
+    """Capture objects of JSON array files as (file, index, raw VARIANT), whatever the size of a file.
 
     A file that holds no array gives one row with its own value and index -1; quarantine reports it.
     """
-    whole = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path).select(
-        F.col("_metadata.file_path").alias("file"), "doc"
-    )
-    items = F.try_variant_get(F.col("doc"), "$", "array<variant>")
-    alone = F.array(F.struct(F.lit(-1).alias("index"), F.col("doc").alias("raw")))
-    listed = F.transform(items, lambda v, i: F.struct(i.alias("index"), v.alias("raw")))
-    return whole.select("file", F.inline(F.coalesce(listed, alone)))
+    return read_array(spark, path)
 
 
 def read_capture_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -76,49 +73,75 @@ def append_captures(batch: DataFrame, results: DataFrame) -> tuple[DataFrame, Da
     ``batch`` has run_id, index and the capture columns; where several chunks of a run may come together, ``file``
     says which chunk ``index`` counts in.  Only keys of ``results`` are read.
     """
-    place = row_place(batch)
-    firsts = first_per_key(batch, CAPTURE_KEY, [F.col(c) for c in place[1:]])
-    inserted = firsts.join(results.select(*CAPTURE_KEY), CAPTURE_KEY, "left_anti")
-    names = place
-    skipped = batch.select(*names).join(inserted.select(*names), names, "left_anti")
-    return inserted, skipped
+    names = row_place(batch)
+    judged = judge_captures(batch, results)
+    return judged.where("new").drop("new"), judged.where("NOT new").select(*names)
+
+
+def judge_captures(batch: DataFrame, results: DataFrame) -> DataFrame:
+    """The batch with ``new``: whether the row is the first of its (run, query, lens) and that is not stored; in one pass."""
+    first = F.row_number().over(Window.partitionBy(*CAPTURE_KEY).orderBy(*row_place(batch)[1:])) == 1
+    known = results.select(*CAPTURE_KEY).distinct().withColumn("_known", F.lit(True))
+    judged = batch.withColumn("_first", first).join(known, list(CAPTURE_KEY), "left")
+    return judged.select(*batch.columns, (F.col("_first") & F.col("_known").isNull()).alias("new"))
 
 
 def stored_keys(spark: SparkSession, path: str, schema: str, batch: DataFrame) -> DataFrame:
-    """Keys of the stored captures that can collide with a batch: only its folders are read."""
-    stored = read_or_empty(spark, path, schema + ", run_bucket INT").select(*CAPTURE_KEY, "run_bucket")
-    touched = batch.select(run_bucket("run_id").alias("run_bucket")).distinct()
-    return stored.join(touched, "run_bucket", "left_semi").select(*CAPTURE_KEY)
+    """Keys of the stored captures that can collide with a batch: only its folders are read.
+
+    The folders a batch touches, at most RUN_BUCKETS numbers, go into the filter as literals, so the scan lists no other.
+    """
+    touched = [r[0] for r in batch.select(run_bucket("run_id")).distinct().collect()]
+    stored = read_or_empty(spark, path, schema + ", run_bucket INT")
+    return stored.where(F.col("run_bucket").isin(touched) if touched else F.lit(False)).select(*CAPTURE_KEY)
 
 
 def write_captures(rows: DataFrame, path: str) -> None:
     rows.withColumn("run_bucket", run_bucket("run_id")).write.mode("append").partitionBy("run_bucket").parquet(path)
 
 
+# Tables that are worked out anew run by run hold generations.  ``rows`` gets the rows of the runs at hand, ``state``
+# afterwards one row for each of these runs, also for those without rows.  Of a run the newest generation that ``state``
+# names counts.  Nothing is overwritten: what a rebuild costs follows the runs at hand, and one that is cut short leaves
+# rows that nothing names.
+STATE = "run_id LONG, generation LONG, batch STRING"
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    state = read_or_empty(spark, f"{path}/state", STATE)
+    newest = F.max(F.struct("generation", "batch")).alias("newest")
+    return state.groupBy(F.col("run_id").alias("of_run")).agg(newest).select("of_run", "newest.*")
+
+
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that ``rebuild_metrics`` or ``rebuild_domain_stats`` keeps, without the marks of emptied folders."""
-    return read_or_empty(spark, path, schema).where(F.col("run_id").isNotNull())
+    """The rows that count of a table kept by ``rebuild_metrics`` or ``rebuild_domain_stats``; an emptied run has none."""
+    newest = _newest(spark, path).select("of_run", F.col("generation").alias("newest_generation"), F.col("batch").alias("newest_batch"))
+    rows = read_or_empty(spark, f"{path}/rows", schema + ", generation LONG, batch STRING")
+    met = (
+        (F.col("run_id") == F.col("of_run")) & (F.col("generation") == F.col("newest_generation")) & (F.col("batch") == F.col("newest_batch"))
+    )
+    return rows.join(newest, met).select(*[c for c in rows.columns if c not in ("generation", "batch")])
 
 
 def _replace_runs(rows: DataFrame, path: str, schema: str, runs: DataFrame | None) -> None:
-    """Replace the rows of some runs, leaving other runs of the same folders as they are."""
+    """A new generation of the runs given, or of those that have rows."""
     spark = rows.sparkSession
-    done = (rows if runs is None else runs).select("run_id").distinct()
-    touched = done.select(run_bucket("run_id").alias("run_bucket")).distinct()
-    stored = read_runs(spark, path, schema + ", run_bucket INT")
-    kept = stored.join(touched, "run_bucket", "left_semi").join(done, "run_id", "left_anti")
-    out = kept.unionByName(rows.withColumn("run_bucket", run_bucket("run_id")))
-    # a folder without rows would not be written, and keep what it held: each one touched gets a row without a run
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema if f.name != "run_bucket"]
-    out = out.unionByName(touched.select(*nothing, "run_bucket"))
-    # rebalance puts a folder into few files and still cuts up a folder that is large
-    (
-        out.hint("rebalance", "run_bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_bucket")
-        .parquet(path)
-    )
+    last = read_or_empty(spark, f"{path}/state", STATE).agg(F.max("generation")).first()[0]
+    generation, batch = (last or 0) + 1, uuid.uuid4().hex  # of two writers at once the names differ, and one wins whole
+    names = spark.createDataFrame([], schema).columns
+    made = rows.select(*names).withColumn("batch", F.lit(batch)).withColumn("generation", F.lit(generation).cast("bigint"))
+    # sorted, so that the statistics of a file tell a reader of some runs what to leave out
+    made.hint("rebalance").sortWithinPartitions("run_id").write.mode("append").partitionBy("generation").parquet(f"{path}/rows")
+    written = spark.read.schema(schema + ", generation LONG, batch STRING").parquet(f"{path}/rows") if runs is None else None
+    of = runs if runs is not None else written.where((F.col("generation") == generation) & (F.col("batch") == batch))
+    of.select("run_id").distinct().select(
+        F.col("run_id").cast("bigint").alias("run_id"), F.lit(generation).cast("bigint").alias("generation"), F.lit(batch).alias("batch")
+    ).write.mode("append").parquet(f"{path}/state")
+
+
+def compact_runs(spark: SparkSession, path: str, schema: str, to: str) -> None:
+    """The rows that count as one generation of another table, without what they replaced."""
+    _replace_runs(read_runs(spark, path, schema), to, schema, _newest(spark, path).select(F.col("of_run").alias("run_id")))
 
 
 def rebuild_metrics(metrics: DataFrame, path: str, runs: DataFrame | None = None) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.captures import CAPTURE_KEY
 from ..operators.validation import checked_captures, ingest_outcomes
 from ..schemas import RESULTS
-from ..sources.tables import append_captures, made_id, row_place, stored_keys, write_captures
+from ..sources.tables import judge_captures, made_id, row_place, stored_keys, write_captures
 
 STREAM_LINE = "run_id LONG, index LONG, body STRING"
 
@@ -30,13 +30,15 @@ def ingest_batch(raw: DataFrame, out_dir: str, batch_no: int) -> None:
         bad = checked.where(F.col("error").isNotNull()).select(
             *row_place(checked), F.col("echoed_query").alias("query"), "error.field", "error.msg"
         )
-        inserted, skipped = append_captures(good, stored_keys(spark, results, RESULTS, good))
+        judged = judge_captures(good, stored_keys(spark, results, RESULTS, good)).persist()
+        inserted, skipped = judged.where("new").drop("new"), judged.where("NOT new").select(*row_place(judged))
         # outcomes first: once the captures are stored the same question has another answer
         ingest_outcomes(inserted, skipped, bad).withColumn("batch_no", F.lit(batch_no)).write.mode(
             "overwrite"
         ).option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(f"{out_dir}/outcomes")
         names = spark.createDataFrame([], RESULTS).columns
         write_captures(inserted.withColumn("id", made_id(*CAPTURE_KEY)).select(*names), results)
+        judged.unpersist()
     finally:
         checked.unpersist()
 

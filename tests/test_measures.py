@@ -192,3 +192,19 @@ def test_salted_join_equals_plain_join(spark):
         a = salted_join(big, small, ["k"], ["id"], how).select("k", "id", "v")
         b = big.join(small, "k", how).select("k", "id", "v")
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_stream_of_weeks_equals_the_rollup_after_late_files(spark):
+    from conformance.cases_streams import _to_latest
+    from conformance.derived import Derived
+    from sightline.operators.metrics import run_metrics
+    from sightline.operators.rollups import weekly_rollup
+    from sightline.streaming import stream_weekly_trend
+
+    d = Derived(spark, "/root/testdata/sf0.001")
+    keys = ["brand_id", "engine", "lens", "week", "monday"]
+    got = _to_latest(d, d.captures, "weeks", F.col("id"), lambda s: stream_weekly_trend(s, d.runs), keys)
+    want = weekly_rollup(run_metrics(d.captures, d.runs).where("n_queries > 0"), d.runs)
+    rounded = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in want.dtypes]
+    rows = lambda df: sorted(map(str, df.select(*rounded).collect()))
+    assert rows(got) == rows(want) and len(rows(want)) > 10
