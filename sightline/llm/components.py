@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored_at
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,19 +15,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     The labels of each round are written to the shared folder; nothing but a count comes to the driver.
     """
     ends = links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-    ends = stored(ends.union(ends.select("dst", "src")).where("src <> dst").distinct(), "links")
-    labels = stored(ends.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("comp")), "labels")
+    spark = links.sparkSession
+    ends, ends_path = stored_at(ends.union(ends.select("dst", "src")).where("src <> dst").distinct(), "links")
+    labels, path = stored_at(ends.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("comp")), "labels")
     while True:
         near = (
             ends.join(labels.select(F.col("node").alias("dst"), "comp"), "dst")
             .groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("near"))
         )
         beyond = labels.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
-        new = stored(
+        new, new_path = stored_at(
             labels.join(near, "node").join(beyond, "comp")
             .select("node", F.least("comp", "near", "beyond").alias("comp"), (F.least("near", "beyond") < F.col("comp")).alias("moved")),
             "labels",
         )
-        labels = new.select("node", "comp")
+        discard(spark, path)
+        labels, path = new.select("node", "comp"), new_path
         if new.where("moved").isEmpty():
+            discard(spark, ends_path)
             return labels

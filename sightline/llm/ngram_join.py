@@ -7,6 +7,10 @@
 * Representatives that share such a member and are near in size form a tile.  A tile is first joined through one of its
   members at a time, so copies of one text cost one comparison each.  What is still apart afterwards is compared in
   blocks: bitmaps of the sets bound the overlap from above, and sorted arrays are intersected where the bound allows.
+  A block keeps track of what it has linked, so it compares no two texts of one component and puts out only the links
+  that join components: fewer than it has texts.
+* Components are contracted after every round: later rounds see only tiles that are still apart, and only what joins
+  the components so far.
 """
 
 from __future__ import annotations
@@ -21,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, stored
+from .common import discard, field, stored, stored_at
 from .components import components
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 COUNTERS = 1 << 16
 LEAST_BITS = 512
-BLOCK = 512
+BLOCK, BLOCK_MEMBERS = 512, 1 << 18
 SMALL_TILE = 64
 STAR_ROUNDS = 8
 FILTER_BITS = 1 << 22
@@ -271,7 +275,7 @@ def possible(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
         return pd.Series(out, dtype=bool)
 
     met = _with_both(pairs, arrays, "n", "bits")
-    return met.where(may("x_n", "x_bits", "y_n", "y_bits")).select("a", "b")
+    return met.where(may("x_n", "x_bits", "y_n", "y_bits")).select(*pairs.columns)
 
 
 def similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +294,7 @@ def similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     met = _with_both(pairs, _only(arrays.select("id", "members"), "id", ids), "members")
-    return met.where(reach("x_members", "y_members")).select("a", "b")
+    return met.where(reach("x_members", "y_members")).select(*pairs.columns)
 
 
 def _near_in_size(x: str, y: str, percent: int):
@@ -309,12 +313,10 @@ def _different(tiles: DataFrame) -> DataFrame:
     return one.select("of.member", "of.tile")
 
 
-def _named(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The tiles, each member with its component."""
-    if labels is None:
-        return tiles.withColumn("comp", F.col("rep"))
-    named = tiles.join(labels.select(F.col("node").alias("rep"), F.col("comp").alias("found")), "rep", "left")
-    return named.withColumn("comp", F.coalesce("found", "rep")).drop("found")
+def _relabelled(rows: DataFrame, joined: DataFrame, column: str = "comp") -> DataFrame:
+    """The rows with the component each of their components has become part of."""
+    new = joined.select(F.col("node").alias(column), F.col("comp").alias("__into"))
+    return rows.join(new, column, "left").withColumn(column, F.coalesce("__into", column)).select(*rows.columns)
 
 
 def _apart(named: DataFrame, *more: Column) -> DataFrame:
@@ -324,58 +326,93 @@ def _apart(named: DataFrame, *more: Column) -> DataFrame:
 
 
 def _star_pairs(tiles: DataFrame, seed: int, percent: int) -> DataFrame:
-    """At most one pair for each member that is not yet in the component of the centre of one of its tiles.
+    """At most one pair (a, b, ca, cb) for each member that is not yet in the component of the centre of one of its tiles.
 
     Of the centres a member meets it takes the one of least hash, so that a text with copies is compared once a round.
     """
     centres = _apart(tiles, F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep", "n", "comp")).alias("c"))
     met = tiles.join(centres, ["member", "tile"]).where(F.col("comp") != F.col("c.comp"))
     met = met.withColumn("m", F.col("c.n")).where(_near_in_size("n", "m", percent))
-    best = met.groupBy("rep").agg(F.min(F.struct("c.h", "c.rep")).alias("c"))
-    return best.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    best = met.groupBy("rep", "comp").agg(F.min(F.struct("c.h", "c.rep", "c.comp")).alias("c"))
+    return best.select(*_ordered("rep", "comp", "c.rep", "c.comp")).distinct()
 
 
-def _block_pairs(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """All other pairs of a tile that the bitmaps do not rule out: small tiles joined, large ones block by block."""
-    bits = arrays.select(F.col("id").alias("rep"), "bits")
-    size = tiles.groupBy("member", "tile").agg(F.count("*").alias("size"))
-    sized = stored(tiles.join(size, ["member", "tile"]), "tiles")
-    few = sized.where(F.col("size") <= SMALL_TILE)
+def _ordered(x: str, cx: str, y: str, cy: str) -> list[Column]:
+    """(a, b, ca, cb): two texts, the smaller id first, and their components."""
+    first = F.col(x) < F.col(y)
+    return [
+        F.when(first == up, F.col(one)).otherwise(F.col(two)).alias(name)
+        for name, up, one, two in (("a", True, x, y), ("b", False, x, y), ("ca", True, cx, cy), ("cb", False, cx, cy))
+    ]
+
+
+def _small_pairs(sized: DataFrame, percent: int) -> DataFrame:
+    """All other pairs of the small tiles, each once."""
+    few = sized.where(F.col("size") <= SMALL_TILE).select("member", "tile", "rep", "n", "comp")
     other = few.select("member", "tile", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp")))
-    small = (
-        few.join(other, ["member", "tile"]).where("rep < rep2 AND comp <> comp2").where(_near_in_size("n", "n2", percent))
-        .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    )
+    met = few.join(other, ["member", "tile"]).where("rep < rep2 AND comp <> comp2").where(_near_in_size("n", "n2", percent))
+    return met.select(*_ordered("rep", "comp", "rep2", "comp2")).distinct()
+
+
+class _Joined:
+    """Components of a block, by place, as links join them."""
+
+    def __init__(self, comps: np.ndarray):
+        self.of = np.unique(comps, return_inverse=True)[1]
+
+    def join(self, i: int, j: int) -> None:
+        self.of[self.of == self.of[j]] = self.of[i]
+
+
+def block_links(own: np.ndarray, n: np.ndarray, comp: np.ndarray, bits, members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (component, component) that join what the texts of two blocks, or of one, have apart; fewer than texts.
+
+    ``own`` tells the blocks apart; texts of different blocks are compared, or all where there is one block only.
+    """
+    maps, joined, found = _stack(bits), _Joined(comp), []
+    cut = own != own.min()
+    flat, starts = np.concatenate(members), np.cumsum([0, *map(len, members)])
+    for i in range(len(n)):
+        may = (joined.of != joined.of[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
+        may &= (cut & ~cut[i]) if cut.any() else (np.arange(len(n)) > i)
+        at = np.flatnonzero(may)
+        if not len(at):
+            continue
+        bound = _overlap_bound(maps[i], n[i], maps[at], n[at])
+        at = at[bound * (100 + percent) >= percent * (n[i] + n[at])]
+        for j in at:
+            if joined.of[i] == joined.of[j]:
+                continue
+            x, y = members[i], flat[starts[j] : starts[j + 1]]
+            place = np.searchsorted(x, y)
+            place[place == len(x)] = 0
+            both = int((x[place] == y).sum())
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                found.append((int(comp[i]), int(comp[j])))
+                joined.join(i, int(j))
+    return found
+
+
+def _large_links(sized: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """(ca, cb): what joins the components of the large tiles, compared block by block, bitmaps before arrays."""
     many = sized.where(F.col("size") > SMALL_TILE)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    many = many.withColumn("blocks", blocks).withColumn("own", own)
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("members") / BLOCK_MEMBERS)).cast("int")
+    many = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # a block meets itself and every other block once
     many = many.select("member", "tile", "rep", "n", "comp", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
-    many = many.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with")).join(bits, "rep")
-    id_type = tiles.schema["rep"].dataType.simpleString()
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
-        left, right = rows[rows["own"] == x].reset_index(drop=True), rows[rows["own"] == y].reset_index(drop=True)
-        both = _stack([*left["bits"], *right["bits"]])
-        maps = both[: len(left)], both[len(left) :]
-        n, comp, rep = right["n"].to_numpy(), right["comp"].to_numpy(), right["rep"].to_numpy()
-        a, b = [], []
-        for i in range(len(left)):
-            m = left["n"][i]
-            may = (comp != left["comp"][i]) & (100 * n >= percent * m) & (100 * m >= percent * n)
-            if x == y:
-                may &= rep > left["rep"][i]
-            at = np.flatnonzero(may)
-            bound = _overlap_bound(maps[0][i], m, maps[1][at], n[at])
-            at = at[bound * (100 + percent) >= percent * (m + n[at])]
-            a += [left["rep"][i]] * len(at)
-            b += rep[at].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if a else pd.DataFrame({"a": [], "b": []})
-
-    large = many.groupBy("member", "tile", "x", "y").applyInPandas(compare, f"a {id_type}, b {id_type}").distinct()
-    return small.union(large).distinct()
+    many = many.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with"))
+    sets = _only(arrays.select("id", "bits", "members"), "id", many.select(F.col("rep").alias("id")).distinct())
+    many = many.join(sets.withColumnRenamed("id", "rep"), "rep")
+    id_type = sized.schema["rep"].dataType.simpleString()
+
+    def compare(rows: pa.Table) -> pa.Table:
+        members = [np.asarray(m.values).view(U) for m in rows["members"]]
+        columns = (rows[c].to_numpy() for c in ("own", "n", "comp"))
+        links = block_links(*columns, rows["bits"].to_pylist(), members, percent)
+        kind = rows.schema.field("comp").type
+        return pa.table({"ca": pa.array([a for a, _ in links], kind), "cb": pa.array([b for _, b in links], kind)})
+
+    return many.groupBy("member", "tile", "x", "y").applyInArrow(compare, f"ca {id_type}, cb {id_type}")
 
 
 def ngram_join(
@@ -388,35 +425,55 @@ def ngram_join(
     component.  Repeated rows give repeated results; rows that share an id share links.  An empty table gives an empty
     one; further columns are ignored.  Ids are integers.
     """
+    spark = docs.sparkSession
     counts = member_counts(docs, text_col, words)
     sets = stored(_rare_members(docs, id_col, text_col, words, percent, counts), "sets")
     known = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    reps = stored(known.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.min_by("rare", "id").alias("rare")), "reps")
+    reps, reps_path = stored_at(known.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.min_by("rare", "id").alias("rare")), "reps")
     listed = reps.select("rep", "n", F.explode("rare").alias("member"))
     shared = listed.groupBy("member").agg(F.count("*").alias("k")).where("k > 1").select("member")
     band = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
     tiles = listed.join(shared, "member").withColumn("tile", F.explode(F.array(band, band + 1)))
-    tiles = stored(tiles.select("member", "tile", "rep", "n"), "tiles")
-    tiles = stored(tiles.join(_different(tiles), ["member", "tile"]), "tiles")
-    arrays = stored(_arrays(docs, id_col, text_col, words, tiles.select(F.col("rep").alias("id")).distinct()), "arrays")
-    links, labels = None, None
+    tiles, all_path = stored_at(tiles.select("member", "tile", "rep", "n"), "tiles")
+    discard(spark, reps_path)
+    live, path = stored_at(tiles.join(_different(tiles), ["member", "tile"]).withColumn("comp", F.col("rep")), "tiles")
+    discard(spark, all_path)
+    arrays = stored(_arrays(docs, id_col, text_col, words, live.select(F.col("rep").alias("id")).distinct()), "arrays")
+    joins = []
+
+    def contract(links: DataFrame) -> None:
+        """Join components along the links; tiles that are no longer apart go."""
+        nonlocal live, path
+        joins.append(components(links, "ca", "cb"))
+        named, old = _relabelled(live, joins[-1]), path
+        live, path = stored_at(named.join(_apart(named), ["member", "tile"]), "tiles")
+        discard(spark, old)
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, str]:
+        near, near_path = stored_at(possible(pairs, arrays, percent), "pairs")
+        links, links_path = stored_at(similar(near, arrays, percent).select("ca", "cb").distinct(), "links")
+        discard(spark, near_path)
+        return links, links_path
+
     for seed in range(STAR_ROUNDS):
-        near = stored(possible(_star_pairs(_named(tiles, labels), seed, percent), arrays, percent), "pairs")
-        found = stored(similar(near, arrays, percent), "links")
-        if found.isEmpty():
+        found, found_path = verified(_star_pairs(live, seed, percent))
+        none = found.isEmpty()
+        if not none:
+            contract(found)
+        discard(spark, found_path)
+        if none:
             break
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    left = _named(tiles, labels)
-    left = left.join(_apart(left), ["member", "tile"])
-    near = stored(possible(_block_pairs(left, arrays, percent), arrays, percent), "pairs")
-    found = stored(similar(near, arrays, percent), "links")
-    if not found.isEmpty():
-        labels = components(found if links is None else links.union(found))
-    named = reps.select("s1", "s2", "n", "rep")
-    if labels is not None:
-        named = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))
-    named = named.select("s1", "s2", "n", F.col("rep").alias("comp"))
+    size = live.groupBy("member", "tile").agg(F.count("*").alias("size"), F.sum("n").alias("members"))
+    sized = stored(live.join(size, ["member", "tile"]), "tiles")
+    few, few_path = verified(_small_pairs(sized, percent))
+    last, last_path = stored_at(few.union(_large_links(sized, arrays, percent)).distinct(), "links")
+    if not last.isEmpty():
+        joins.append(components(last, "ca", "cb"))
+    for done in (path, few_path, last_path):
+        discard(spark, done)
+    named = known.groupBy("s1", "s2", "n").agg(F.min("id").alias("comp"))
+    for joined in joins:
+        named = _relabelled(named, joined)
     joined = known.select("id", "s1", "s2", "n").join(named, ["s1", "s2", "n"]).select("id", "n", "comp")
     rest = sets.where(F.col("id").isNull() | (F.col("n") == 0)).select("id", "n", F.col("id").alias("comp"))
     return joined.union(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
