@@ -393,26 +393,59 @@ def block_links(own: np.ndarray, n: np.ndarray, comp: np.ndarray, bits, members:
     return found
 
 
-def _large_links(sized: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """(ca, cb): what joins the components of the large tiles, compared block by block, bitmaps before arrays."""
-    many = sized.where(F.col("size") > SMALL_TILE)
+def _in_blocks(tiles: DataFrame) -> DataFrame:
+    """Rows of tiles dealt to pairs of blocks (x, y): a block meets itself and every other block once."""
+    size = tiles.groupBy("member", "tile").agg(F.count("*").alias("size"), F.sum("n").alias("members"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("members") / BLOCK_MEMBERS)).cast("int")
-    many = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # a block meets itself and every other block once
-    many = many.select("member", "tile", "rep", "n", "comp", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
-    many = many.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with"))
-    sets = _only(arrays.select("id", "bits", "members"), "id", many.select(F.col("rep").alias("id")).distinct())
-    many = many.join(sets.withColumnRenamed("id", "rep"), "rep")
-    id_type = sized.schema["rep"].dataType.simpleString()
+    dealt = tiles.join(size, ["member", "tile"]).withColumn("blocks", blocks)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("member", "tile", "rep", "n", "comp", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
+    return dealt.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with"))
+
+
+def block_hopes(own: np.ndarray, n: np.ndarray, comp: np.ndarray, bits, percent: int) -> np.ndarray:
+    """Places of the texts whose bitmap allows a link to a text of another component in the block they meet."""
+    maps, hope = _stack(bits), np.zeros(len(n), bool)
+    cut = own != own.min()
+    for i in range(len(n)):
+        may = (comp != comp[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
+        may &= (cut & ~cut[i]) if cut.any() else (np.arange(len(n)) > i)
+        at = np.flatnonzero(may)
+        if len(at):
+            at = at[_overlap_bound(maps[i], n[i], maps[at], n[at]) * (100 + percent) >= percent * (n[i] + n[at])]
+            hope[at] = True
+            hope[i] |= len(at) > 0
+    return np.flatnonzero(hope)
+
+
+def _large_links(sized: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """(ca, cb): what joins the components of the large tiles, block by block.
+
+    First with bitmaps alone, which tells the texts that may have a link at all; only these get their sorted arrays.
+    """
+    columns = ["member", "tile", "rep", "n", "comp"]
+    many = sized.where(F.col("size") > SMALL_TILE).select(*columns)
+    kinds = {c: sized.schema[c].dataType.simpleString() for c in columns}
+    maps = arrays.select(F.col("id").alias("rep"), "bits")
+
+    def arrays_of(rows: pa.Table) -> list[np.ndarray]:
+        return [rows[c].to_numpy() for c in ("own", "n", "comp")]
+
+    def hopeful(rows: pa.Table) -> pa.Table:
+        return rows.take(pa.array(block_hopes(*arrays_of(rows), rows["bits"].to_pylist(), percent))).select(columns)
+
+    found = _in_blocks(many).join(maps, "rep").groupBy("member", "tile", "x", "y")
+    hopes = stored(found.applyInArrow(hopeful, ", ".join(f"{c} {k}" for c, k in kinds.items())).distinct(), "tiles")
+    sets = _only(arrays.select("id", "bits", "members"), "id", hopes.select(F.col("rep").alias("id")).distinct())
+    dealt = _in_blocks(hopes).join(sets.withColumnRenamed("id", "rep"), "rep")
 
     def compare(rows: pa.Table) -> pa.Table:
         members = [np.asarray(m.values).view(U) for m in rows["members"]]
-        columns = (rows[c].to_numpy() for c in ("own", "n", "comp"))
-        links = block_links(*columns, rows["bits"].to_pylist(), members, percent)
+        links = block_links(*arrays_of(rows), rows["bits"].to_pylist(), members, percent)
         kind = rows.schema.field("comp").type
         return pa.table({"ca": pa.array([a for a, _ in links], kind), "cb": pa.array([b for _, b in links], kind)})
 
-    return many.groupBy("member", "tile", "x", "y").applyInArrow(compare, f"ca {id_type}, cb {id_type}")
+    return dealt.groupBy("member", "tile", "x", "y").applyInArrow(compare, f"ca {kinds['comp']}, cb {kinds['comp']}")
 
 
 def ngram_join(
@@ -463,7 +496,7 @@ def ngram_join(
         discard(spark, found_path)
         if none:
             break
-    size = live.groupBy("member", "tile").agg(F.count("*").alias("size"), F.sum("n").alias("members"))
+    size = live.groupBy("member", "tile").agg(F.count("*").alias("size"))
     sized = stored(live.join(size, ["member", "tile"]), "tiles")
     few, few_path = verified(_small_pairs(sized, percent))
     last, last_path = stored_at(few.union(_large_links(sized, arrays, percent)).distinct(), "links")

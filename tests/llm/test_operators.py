@@ -336,3 +336,36 @@ def test_shards_are_minimal_and_keep_copies_together(spark):
         return n
 
     assert max(sizes.values()) <= min(c for c in range(1, sum(bytes_of)) if runs(c) <= 7)
+
+
+def test_blocks_put_out_what_joins_components_and_no_more():
+    rng = np.random.default_rng(3)
+    base = rng.choice(1 << 60, 400, False).astype(np.uint64)
+    sets, own = [], []
+    for i in range(60):
+        keep = base[: 100 + 5 * (i % 4)] if i % 2 else base[200:300]
+        sets.append(np.unique(np.concatenate([keep, rng.choice(1 << 60, int(rng.integers(0, 30)), False).astype(np.uint64)])))
+        own.append(i % 3 == 0)
+    n, comp = np.array([len(s) for s in sets], np.int64), np.arange(60) // 2 * 2
+    bits = []
+    for s in sets:
+        cells = np.zeros(512, np.uint8)
+        cells[(s >> np.uint64(40)).astype(np.int64) % 512] = 1
+        bits.append(np.packbits(cells).tobytes())
+
+    def groups(links):
+        of = {int(c): int(c) for c in comp}
+        for _ in of:
+            for a, b in links:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    for parts in (np.zeros(60, int), np.array(own, int)):
+        want = [
+            (int(comp[i]), int(comp[j])) for i in range(60) for j in range(i) if (parts.max() == 0 or parts[i] != parts[j])
+            and 100 * len(set(sets[i]) & set(sets[j])) >= 85 * len(set(sets[i]) | set(sets[j]))
+        ]
+        found = ngram_join.block_links(parts, n, comp, bits, sets, 85)
+        assert groups(found) == groups(want) and len(found) < len(set(comp.tolist())) and want
+        hopes = ngram_join.block_hopes(parts, n, comp, bits, 85)
+        assert {c for pair in want for c in pair} <= {int(comp[i]) for i in hopes}
