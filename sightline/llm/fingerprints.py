@@ -1,10 +1,12 @@
 """Fingerprints of documents by consistent weighted sampling.
 
-A document is a set of words with their counts as weights, so of one element for each occurrence of a word: (word, 1) to
-(word, count).  For each of the samples every element draws a uniform value, from a hash of the element and the sample's
-number, and the element of least value is the sample.  Two documents share the elements that the smaller counts give, so they
-have the same sample with the probability of their generalised Jaccard similarity, the sum of the smaller weights over the sum
-of the larger ones.  Counts are whole numbers, so nothing is rounded.  Everything is columns and SQL functions.
+A document is a set of words with their counts as weights.  For each of the samples a word of weight S draws r and c, both
+gamma distributed with shape 2, and b, uniform, from hashes of the word and the sample's number, the same in every document.
+With t = floor(ln S / r + b) and y = exp(r (t - b)), the word of least c / (y exp r) is the sample, together with its t.  Two
+documents have the same sample with the probability of their generalised Jaccard similarity, the sum of the smaller weights
+over the sum of the larger ones; weights need not be whole numbers.  What is compared is the logarithm,
+ln c - r (t - b + 1), in steps of 2^-40; a gamma value of shape 2 is -ln of the product of two uniform ones.  Everything is
+columns and SQL functions.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from .common import stored
 
 SAMPLES = 64
 CELLS = 256
-MOST_BUCKETS = 1 << 16
+MOST_BUCKETS = 1 << 20
 ROWS_IN_BUCKET = 2000
 
 
 def _terms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, term): a hash of each word and number of its occurrence; texts without a word have one row with null."""
+    """(keys, term, w): a hash of each word and the logarithm of its count; texts without a word have one row with null."""
     words = F.filter(F.split(F.translate(F.col(text), "\n\r\t", "   "), " "), lambda w: w != "")
     hashed = df.select(*keys, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("hs"))
     n = F.size("hs")
@@ -31,18 +33,31 @@ def _terms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(1))),
         lambda s, i: F.struct(F.get("hs", s).alias("term"), (F.get("at", i + 1) - s).alias("weight")),
     )
-    words = runs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.term", F.explode_outer(F.sequence(F.lit(1), "p.weight")).alias("nth"))
-    return words.select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term", "nth")).alias("term"))
+    return runs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.term", F.ln(F.col("p.weight").cast("double")).alias("w"))
 
 
-def _draw(term: str, k: int) -> Column:
-    """A number for an element and a sample: what is compared in the upper bits, what names the element in the lower."""
-    return F.when(F.col(term).isNotNull(), F.xxhash64(F.col(term), F.lit(k)))
+def _draw(k: int) -> str:
+    """SQL of a whole number for (term, w) and a sample: the value to compare, and in the lower 16 bits what names word and t.
+
+    Two hashes give five uniform numbers: 21 bits each for r and b, 31 bits each for c.  Null without a word.  Nothing here
+    is conditional, so what is stated twice is worked out once.
+    """
+    h1, h2 = f"xxhash64(term, {k})", f"xxhash64(term, {k}, 1)"
+    part = lambda h, at, bits: f"((shiftrightunsigned({h}, {at}) & {(1 << bits) - 1}) + 0.5D) * {2.0**-bits!r}D"
+    r = f"(- ln({part(h1, 0, 21)} * {part(h1, 21, 21)}))"
+    b = f"({part(h1, 42, 21)})"
+    c = f"ln(- ln({part(h2, 0, 31)} * {part(h2, 32, 31)}))"
+    t = f"CAST(w / {r} + {b} AS BIGINT)"  # not negative, so cut off is rounded down
+
+    # the bits drawn and counts of 31 bits keep values between -74 and 4
+    value = f"CAST(({c} - {r} * ({t} - {b} + 1D) + 80D) * {2.0**40!r}D AS BIGINT)"
+    return f"shiftleft({value}, 16) | ((shiftrightunsigned({h2}, 7) + {t} * 40503L) & 65535L)"
 
 
 def signatures(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """(keys, sig) with one row for each value of the keys; sig has SAMPLES numbers of 16 bits, null without a word."""
-    drawn = _terms(df, text, keys).groupBy(*keys).agg(*(F.min(_draw("term", k)).alias(f"s{k}") for k in range(SAMPLES)))
+    draws = [F.min(F.expr(_draw(k))).alias(f"s{k}") for k in range(SAMPLES)]
+    drawn = _terms(df, text, keys).groupBy(*keys).agg(*draws)
     sig = F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(SAMPLES)))
     return drawn.select(*keys, F.when(F.col("s0").isNotNull(), sig).alias("sig"))
 
