@@ -156,7 +156,7 @@ def _home_signals(d: Derived):
 
 
 _SIGNALS = {
-    "raw_word_count": "words", "heading_count": "n_headings", "h1_count": "h1", "has_main_or_article": "has_main", "heading_order_ok": "order_ok",
+    "raw_word_count": "words", "heading_count": "n_headings", "heading_levels": "array_to_string(levels, ',')", "h1_count": "h1", "has_main_or_article": "has_main", "heading_order_ok": "order_ok",
     "empty_root_markers": "CASE WHEN shell THEN 'div#root' ELSE '' END", "framework": "CASE WHEN shell THEN 'Next' END",
     "has_noscript": "FALSE", "js_dependent": "home_js",
     "title": "CASE WHEN has_title THEN trim(" + _UNESC.format(x=f"regexp_extract(clean, {q(P.TITLE)}, 1)") + ", e' \\t\\n\\r') END",
@@ -170,6 +170,8 @@ _SIGNALS = {
 }
 case("page_signals", lambda d: present(_home_signals(d), "p", *_SIGNALS),
      "SELECT p, " + ", ".join(f"{e} AS {n}" for n, e in _SIGNALS.items()) + " FROM facts WHERE NOT down")
+case("heading_levels", lambda d: present(_home_signals(d), "p", "heading_levels"),
+     "SELECT p, array_to_string(levels, ',') AS heading_levels FROM facts WHERE NOT down")
 case("heading_order_ok", lambda d: present(_home_signals(d), "p", "heading_order_ok"), "SELECT p, order_ok AS heading_order_ok FROM facts WHERE NOT down")
 case("sitemap_wellformed",
      lambda d: present(_site_no(d.site_fetch.where("kind = 'sitemap'")).select("p", P.sitemap_wellformed(F.col("text")).alias("good"))),

@@ -284,6 +284,7 @@ def page_signals(pages: DataFrame, html: str = "html") -> DataFrame:
             | ((F.size("_roots") > 0) & (words < EMPTY_ROOT_WORDS))
             | (words < CRITICAL_WORDS)
         ).alias("js_dependent"),
+        levels.alias("heading_levels"),
         F.size(F.filter(levels, lambda h: h == 1)).alias("h1_count"),
         F.rlike(clean, F.lit(MAIN_TAG)).alias("has_main_or_article"),
         heading_order_ok(levels).alias("heading_order_ok"),

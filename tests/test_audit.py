@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import datetime as dt
 
 import pytest
@@ -124,6 +126,7 @@ def test_empty_roots(spark):
 def test_headings(spark, html, h1, count, order):
     s = signals(spark, html)[0]
     assert (s["h1_count"], s["heading_count"], s["heading_order_ok"]) == (h1, count, order)
+    assert s["heading_levels"] == [int(level) for level in re.findall("<h([1-6])", html)]
 
 
 def ld(*blocks):
