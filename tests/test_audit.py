@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
