@@ -90,7 +90,7 @@ def test_one_document_of_each_group_of_near_copies_stays(spark):
 
 
 def test_repeated_and_missing_ids_of_near_copies(spark):
-    one = " ".join(f"w{i}" for i in range(40))
+    one = " ".join(f"w{i}" for i in range(80))
     other, alone = one.replace("w7 ", "v7 "), "quite another text of seven words here"
     rows = [(1, one), (1, one), (2, one), (None, one), (None, one), (9, alone), (9, alone), (9, None), (None, other), (None, None), (None, None), (None, "no copy of this one at all")]
     got = Counter((r["doc_id"], r["text"]) for r in pipe.drop_near_copies(spark, _docs(spark, rows), SF).collect())
