@@ -313,3 +313,25 @@ _REPORT_PARTS = {
 case("view_report_tables", _report,
      " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, sum({k})::BIGINT AS key_sum FROM {t}" for n, (k, t) in _REPORT_PARTS.items()),
      {"today": _TODAY})
+
+# the report over all done runs, one key a table, whole rows
+_ALL_RUNS = f"""(SELECT p.*, t.run_id FROM (SELECT brand_id, engine, lens, {FOLD_SQL} FROM {DONE_METRICS} GROUP BY ALL) p
+    JOIN latest t ON t.brand_id = p.brand_id AND t.engine = p.engine)"""
+_NO_PAST = "NULL::DOUBLE AS prev, NULL::DOUBLE AS delta, NULL::DOUBLE AS low, NULL::DOUBLE AS high"
+_REPORT_ALL = {
+    "kpi": ((), " UNION ALL ".join(
+        f"""SELECT brand_id, engine, run_id, lens, '{m}' AS metric, {_RATIO[m]} AS is_ratio, {m} AS value, {_NO_PAST},
+        CASE WHEN {m} IS NULL THEN 'none' ELSE 'new' END AS direction FROM {_ALL_RUNS} WHERE lens = 'all'""" for m in SEVEN_METRICS)),
+    "lenses": ((), f"SELECT *, {_PLACE} FROM {_ALL_RUNS}"),
+    "funnel": ((), _STAGES.replace("FROM metrics", f"FROM {_ALL_RUNS} WHERE lens = 'all'")),
+    "leaderboard": (_COMP, f"""SELECT {_COMP_SQL.format(order=BY_SOURCES)} FROM (SELECT * FROM ({_PERIOD_BOARD}) WHERE lens = 'all') JOIN
+        (SELECT brand_id, engine, lens, sum(n_overviews) AS n_overviews FROM {DONE_METRICS} GROUP BY ALL) USING (brand_id, engine, lens)
+        QUALIFY position <= 15"""),
+}
+for _table, (_columns, _sql) in _REPORT_ALL.items():
+    case(
+        f"view_report_{_table}_all",
+        lambda d, t=_table, c=_columns: present(
+            report.view_report_tables(d.runs, d.brands, d.metrics, d.sentiment, d.captures, d.stats, d.audits, "all")[t], *c),
+        _sql,
+    )

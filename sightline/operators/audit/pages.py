@@ -37,8 +37,6 @@ FRAMEWORK_TRACES = (
     ("Gatsby", (("gatsby-",), ("/page-data/",))),
     ("Astro", (("_astro/",), ("astro-island",))),
 )
-# how deep lists and @graph of JSON-LD are followed; the language has no recursion, pages nest two or three
-GRAPH_DEPTH = 10
 
 _COMMENT = r"<!--.*?(?:-->|\z)"
 _SCRIPT = r"<script\b[^>]*>.*?(?:</script[^>]*>|\z)"
@@ -161,18 +159,49 @@ def _as(v: Column, kind: str) -> Column:
     return F.try_variant_get(v, "$", kind)
 
 
-def _nodes(v: Column, depth: int = GRAPH_DEPTH) -> Column:
-    """Objects of a JSON-LD value in document order: itself, then its list items or its @graph."""
-    none = F.array().cast(f"array<{_OBJECT}>")
-    node = _as(v, _OBJECT)
-    own = F.when(node.isNotNull(), F.array(node)).otherwise(none)
-    if depth == 0:
-        return own
-    graph = F.try_element_at(node, F.lit("@graph"))
-    below = F.coalesce(
-        _as(v, "array<variant>"), _as(graph, "array<variant>"), F.when(graph.isNotNull(), F.array(graph))
-    )
-    return F.concat(own, F.coalesce(F.flatten(F.transform(below, lambda x: _nodes(x, depth - 1))), none))
+def _nesting(text: Column) -> Column:
+    """How deep the lists and objects of a JSON text lie in each other: a running sum over its brackets."""
+    # escapes go before strings, strings before the rest, so that only brackets of the structure are left
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*+"|[^\[\]{}"]++', "")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+
+    def step(state: Column, bracket: Column) -> Column:
+        at = state["at"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        return F.struct(at.alias("at"), F.greatest(state["most"], at).alias("most"))
+
+    return F.aggregate(F.split(bare, "(?<=.)"), start, step, lambda s: s["most"])
+
+
+def _nodes(v: Column, text: Column) -> Column:
+    """Objects of a JSON-LD value in document order: itself, then its list items or its @graph, at any depth.
+
+    The values not yet looked into are replaced in place by their object and what lies below it, once for each level
+    that ``text`` has.
+    """
+    none = F.lit(None).cast(_OBJECT)
+
+    def closed(node: Column) -> Column:
+        return F.struct(node.alias("node"), F.lit(None).cast("variant").alias("rest"))
+
+    def opened(rest: Column) -> Column:
+        return F.struct(none.alias("node"), rest.alias("rest"))
+
+    def look(item: Column) -> Column:
+        node = _as(item["rest"], _OBJECT)
+        graph = F.try_element_at(node, F.lit("@graph"))
+        below = F.coalesce(
+            _as(item["rest"], "array<variant>"), _as(graph, "array<variant>"),
+            F.when(graph.isNotNull(), F.array(graph)), F.array().cast("array<variant>"),
+        )
+        seen = F.concat(F.array(closed(node)), F.transform(below, opened))
+        return F.when(item["rest"].isNull(), F.array(item)).otherwise(F.filter(seen, lambda i: i["node"].isNotNull() | i["rest"].isNotNull()))
+
+    def level(items: Column, _: Column) -> Column:
+        return F.when(F.exists(items, lambda i: i["rest"].isNotNull()), F.flatten(F.transform(items, look))).otherwise(items)
+
+    # one round more than there are levels: what lies below the last one are plain values, which have no object
+    levels = F.sequence(F.lit(0), _nesting(text))
+    return F.transform(F.aggregate(levels, F.array(opened(v)), level), lambda i: i["node"])
 
 
 def _types(node: Column) -> Column:
@@ -220,6 +249,7 @@ def page_signals(pages: DataFrame, html: str = "html") -> DataFrame:
         *keep,
         "_html",
         "_clean",
+        "_blocks",
         F.transform("_blocks", lambda b: F.try_parse_json(b)).alias("_json"),
         F.transform(
             F.regexp_extract_all("_clean", F.lit(HEADING), F.lit(1)), lambda h: h.cast("int")
@@ -240,10 +270,10 @@ def page_signals(pages: DataFrame, html: str = "html") -> DataFrame:
     )
     step4 = step3.withColumn(
         "_nodes",
-        F.flatten(
-            F.transform(
-                F.filter("_json", lambda j: j.isNotNull()), lambda j: _nodes(j)
-            )
+        F.filter(
+            F.flatten(F.transform(F.arrays_zip("_json", "_blocks"), lambda b: F.when(b["_json"].isNotNull(), _nodes(b["_json"], b["_blocks"])).otherwise(
+                F.array().cast(f"array<{_OBJECT}>")))),
+            lambda n: n.isNotNull(),
         ),
     )
     org = _first(F.filter("_nodes", lambda n: F.array_contains(_types(n), "Organization")))

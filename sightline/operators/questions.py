@@ -108,53 +108,71 @@ def grounded_only(df: DataFrame) -> DataFrame:
     return df.where(has("signal") & has("source_url"))
 
 
-def near_duplicate_questions(df: DataFrame, threshold: float = 0.8, hot_rows: int = HOT_TOKEN_ROWS) -> DataFrame:
-    """Questions without an earlier one whose word set overlaps theirs by ``threshold`` (Jaccard) or more.
+def near_duplicate_questions(
+    df: DataFrame, threshold: float = 0.8, hot_rows: int = HOT_TOKEN_ROWS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Questions without an earlier one of their set whose words overlap theirs by ``threshold`` (Jaccard) or more.
 
-    Exact, without comparing all pairs.  Equal word sets collapse by an aggregate.  Two sets that overlap
+    A set is what ``keys`` tell apart (null keys are equal); ``index`` tells the questions of a set apart.
+    Exact, without comparing all pairs.  Equal word sets collapse by an aggregate.  Two word sets that overlap
     enough must share one of their first n - ceil(threshold * n) + 1 words in any common order, so those
-    words, longest first because long words are rare, are the join keys.  The join is a semi-join: a
-    question stops at its first earlier match.  Words that stand in more than ``hot_rows`` keys are cut into
-    salted parts, each of which holds at most about that many of the earlier questions.
+    words, longest first because long words are rare, are the join keys.  Where they stand in both lists bounds
+    what can still overlap, and the sizes must be near; both are looked at before any words are intersected.  The
+    join is a semi-join: a question stops at its first earlier match.  Words that stand in more than ``hot_rows``
+    questions of a set are cut into salted parts, each of which holds at most about that many of the earlier ones.
     """
     words = F.sort_array(F.array_distinct(tokens(normalize_query(F.col("query")))))
-    sets = df.select("index", words.alias("words"))
-    firsts = sets.where(F.size("words") > 0).groupBy("words").agg(F.min("index").alias("index"))
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    sets = df.select(key.alias("set"), "index", words.alias("words"))
+    firsts = sets.where(F.size("words") > 0).groupBy("set", "words").agg(F.min("index").alias("index"))
     n = F.size("words")
     by_length = F.sort_array(
         F.transform("words", lambda w: F.struct((-F.length(w)).alias("neg"), w.alias("word")))
     )
     shortest = F.ceil(n * threshold - 1e-9).cast("int")
     keyed = firsts.select(
-        "index", "words", F.explode(F.slice(by_length, F.lit(1), n - shortest + 1)).alias("first")
-    ).select("index", "words", F.col("first.word").alias("word"))
+        "set", "index", "words", F.posexplode(F.slice(by_length, F.lit(1), n - shortest + 1)).alias("at", "first")
+    ).select("set", "index", "words", "at", F.col("first.word").alias("word"))
     parts = (
-        keyed.groupBy("word")
+        keyed.groupBy("set", "word")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > hot_rows)
-        .select("word", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
+        .select(F.col("set").alias("hot_set"), F.col("word").alias("hot_word"), F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
     )
-    split = keyed.join(parts, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    later = split.select(
-        F.col("index").alias("l_index"), F.col("words").alias("l_words"), F.col("word").alias("l_word"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("l_part"),
-    )
-    earlier = split.select(
-        F.col("index").alias("e_index"), F.col("words").alias("e_words"), F.col("word").alias("e_word"),
-        F.pmod(F.xxhash64("index"), F.col("parts").cast("bigint")).cast("int").alias("e_part"),
-    )
-    common = F.size(F.array_intersect("l_words", "e_words"))
-    close = common >= (F.size("l_words") + F.size("e_words") - common) * threshold - 1e-9
+    hot = F.col("set").eqNullSafe(F.col("hot_set")) & (F.col("word") == F.col("hot_word"))
+    split = keyed.join(parts, hot, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+    def side(prefix: str, part: Column) -> DataFrame:
+        return split.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("set", "index", "words", "word", "at")], part.alias(f"{prefix}_part"))
+
+    later = side("l", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    earlier = side("e", F.pmod(F.xxhash64("index"), F.col("parts").cast("bigint")).cast("int"))
+    l_size, e_size = F.size("l_words"), F.size("e_words")
+
+    def enough(common: Column) -> Column:
+        return common >= (l_size + e_size - common) * threshold - 1e-9
+
+    # shared words before this one stand before it in both lists, those behind it behind it in both
+    still = F.least("l_at", "e_at") + F.least(l_size - F.col("l_at"), e_size - F.col("e_at"))
     repeats = later.join(
         earlier,
-        (F.col("l_word") == F.col("e_word"))
+        F.col("l_set").eqNullSafe(F.col("e_set"))
+        & (F.col("l_word") == F.col("e_word"))
         & (F.col("l_part") == F.col("e_part"))
         & (F.col("e_index") < F.col("l_index"))
-        & close,
+        & enough(F.least(l_size, e_size))
+        & enough(still)
+        & enough(F.size(F.array_intersect("l_words", "e_words"))),
         "left_semi",
-    ).select(F.col("l_index").alias("index")).distinct()
-    first_ids = firsts.select("index").unionByName(sets.where(F.size("words") == 0).select("index"))
-    return df.join(first_ids.join(repeats, "index", "left_anti"), "index", "left_semi")
+    ).select(F.col("l_set").alias("set"), F.col("l_index").alias("index")).distinct()
+    firsts = firsts.select("set", "index").unionByName(sets.where(F.size("words") == 0).select("set", "index"))
+
+    def same(left: Column, x: str, y: str) -> Column:
+        return left.eqNullSafe(F.col(f"{y}.set")) & (F.col(f"{x}.index") == F.col(f"{y}.index"))
+
+    kept = firsts.alias("f").join(repeats.alias("r"), same(F.col("f.set"), "f", "r"), "left_anti")
+    own = F.struct(*[F.col(f"q.{k}") for k in keys]) if keys else F.lit(0)
+    return df.alias("q").join(kept.alias("k"), same(own, "q", "k"), "left_semi")
 
 
 def balance_questions(df: DataFrame, quota: Mapping[str, int]) -> DataFrame:

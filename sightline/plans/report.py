@@ -12,9 +12,9 @@ from ..operators.metrics import funnel_stages
 from ..operators.outcomes import gap_list, outcome_counts, sentiment_samples
 from ..operators.rollups import weekly_rollup
 from ..operators.runs import SERIES, latest_completed_run, runs_with_metrics
-from ..schemas import ALL, SEVEN_METRICS
+from ..schemas import ALL, METRIC_COLUMNS, SEVEN_METRICS
 from ..sources.dims import metric_defs_array
-from .views import view_competitors, view_lens_breakdown, view_metrics_today
+from .views import view_competitors, view_lens_breakdown, view_metrics_all, view_metrics_today
 
 
 def metrics_long(today: DataFrame) -> DataFrame:
@@ -45,21 +45,33 @@ def metrics_long(today: DataFrame) -> DataFrame:
 
 def view_report_tables(
     runs: DataFrame, brands: DataFrame, metrics: DataFrame, sentiment: DataFrame, captures: DataFrame,
-    board: DataFrame, audits: DataFrame,
+    board: DataFrame, audits: DataFrame, period: str = "today",
 ) -> dict[str, DataFrame]:
-    """Report tables by name.  The focus of a brand and engine is its newest done run that has metrics."""
+    """Report tables by name.  The focus of a brand and engine is its newest done run that has metrics.
+
+    With the period ``all``, measures, lenses, funnel and leaderboard are folded over all done runs, under the id of the
+    focus; there is nothing before them to compare with.  Answers are those of the focus in either period.
+    """
+    if period not in ("today", "all"):
+        raise ValueError("period must be 'today' or 'all'")
     reported = runs_with_metrics(runs, metrics)
     focus = latest_completed_run(reported).select("run_id")
 
     def focused(df: DataFrame) -> DataFrame:
         return df.join(focus, "run_id", "left_semi")
 
-    today = view_metrics_today(metrics, reported, sentiment)
-    shown = view_competitors(board.where(F.col("lens") == ALL), metrics, reported, "today", "sources", 15)
+    if period == "all":
+        measured = view_metrics_all(metrics, reported, sentiment)
+        none = {f"{m}_{part}": F.lit(None).cast("double") for m in SEVEN_METRICS for part in ("prev", "delta", "min", "max")}
+        kpi = measured.withColumns({**none, "n_repeats": F.lit(1).cast("bigint")})
+        measured = measured.select("run_id", *SERIES, "lens", *METRIC_COLUMNS)
+    else:
+        kpi, measured = view_metrics_today(metrics, reported, sentiment), focused(metrics)
+    shown = view_competitors(board.where(F.col("lens") == ALL), metrics, reported, period, "sources", 15)
     return {
-        "kpi": metrics_long(today.where(F.col("lens") == ALL)),
-        "lenses": view_lens_breakdown(focused(metrics)),
-        "funnel": funnel_stages(focused(metrics).where(F.col("lens") == ALL)),
+        "kpi": metrics_long(kpi.where(F.col("lens") == ALL)),
+        "lenses": view_lens_breakdown(measured),
+        "funnel": funnel_stages(measured.where(F.col("lens") == ALL)),
         "weekly": weekly_rollup(metrics, reported).where(F.col("lens") == ALL),
         "leaderboard": shown,
         "top_cited": board_ops.top_cited_domains(shown.drop("position"), 5, 15, (*SERIES, "lens")),

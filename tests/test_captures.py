@@ -148,6 +148,14 @@ def test_near_duplicates_equal_brute_force_with_hot_words_split(spark):
             assert sorted(r["index"] for r in got.collect()) == want
 
 
+def test_near_duplicates_stay_within_their_set(spark):
+    rows = [(1, 0, "best red shoes"), (1, 1, "shoes red best"), (2, 1, "best red shoes"), (None, 3, "red best shoes"), (None, 4, "shoes red best"), (2, 5, "!")]
+    df = spark.createDataFrame(rows, "set LONG, index LONG, query STRING")
+    got = Q.near_duplicate_questions(df, keys=["set"])
+    assert got.columns == df.columns
+    assert sorted((r["set"] or 0, r["index"]) for r in got.collect()) == [(0, 3), (1, 0), (2, 1), (2, 5)]
+
+
 def test_balance_spreads_over_segments(spark):
     rows = [(i, "general", "s0" if i < 6 else f"s{i}") for i in range(9)] + [(100, "branded", "b")]
     df = spark.createDataFrame(rows, "index LONG, lens STRING, segment STRING")
