@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.functions import delta_direction
+from sightline.functions import day_as_written, delta_direction
 from sightline.operators import leaderboard as L
 from sightline.operators import metrics as M
 from sightline.operators import outcomes as O
@@ -168,6 +168,15 @@ case("trend_points", lambda d: present(R.trend_points(d.metrics, d.runs)),
 WEEKLY_SQL = f"""SELECT brand_id, engine, lens, strftime(run_at, '%G-W%V') AS week,
     strftime(date_trunc('week', run_at), '%Y-%m-%d') AS monday, count(*) AS n_runs, {FOLD_SQL} FROM {DONE_METRICS} GROUP BY ALL"""
 case("weekly_rollup", lambda d: present(R.weekly_rollup(d.metrics, d.runs)), WEEKLY_SQL)
+
+
+def _dated_runs(d: Derived):
+    """Runs whose time was given as text late in the evening, behind or before the session's zone, and read as an instant."""
+    stamp = F.concat(F.date_format("run_at", "yyyy-MM-dd"), F.when(F.col("brand_id") % 2 == 0, "T23:00:00-05:00").otherwise("T01:00:00+09:00"))
+    return d.runs.withColumn("stamp", stamp).withColumns({"run_at": F.to_timestamp("stamp"), "run_day": day_as_written(F.col("stamp"))})
+
+
+case("weekly_rollup_own_offset", lambda d: present(R.weekly_rollup(d.metrics, _dated_runs(d))), WEEKLY_SQL)
 _PREV = ", ".join(f"round(p.{m}, 6) AS {m}_prev" for m in SEVEN_METRICS)
 _DELTA = ", ".join(f"round(m.{m} - p.{m}, 6) AS {m}_delta" for m in SEVEN_METRICS)
 _PAIR = """FROM latest t JOIN ordered o ON o.run_id = t.run_id LEFT JOIN runs pr ON pr.run_id = o.prev_run_id

@@ -6,8 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def day_as_written(stamp: Column) -> Column:
+    """DATE of an ISO timestamp text at its own offset, whatever the session's zone; NULL for other texts."""
+    text = F.trim(stamp)
+    return F.when(F.try_to_timestamp(text).isNotNull() & F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}")), F.try_to_date(F.substring(text, 1, 10)))
+
+
 def iso_week(ts: Column) -> Column:
-    """``YYYY-Www`` of the ISO calendar."""
+    """``YYYY-Www`` of the ISO calendar; of a timestamp by its date in the session's zone."""
     return F.format_string(
         "%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), ts).cast("int"), F.weekofyear(ts)
     )

@@ -12,7 +12,7 @@ from ..schemas import ALL, COUNT_METRICS, METRIC_COLUMNS, SEVEN_METRICS
 from .metrics import funnel_ratios
 from .runs import (
     SERIES, completed_only, group_run_ids, latest_and_previous, latest_completed_run, metrics_of_done_runs,
-    n_runs_done,
+    n_runs_done, run_day,
 )
 
 _COUNTS = ("n_queries", "n_overviews", "n_in_sources", "n_cited")
@@ -67,10 +67,10 @@ def trend_points(metrics: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def weekly_rollup(metrics: DataFrame, runs: DataFrame) -> DataFrame:
-    """Done runs folded per ISO week of the run time."""
-    points = trend_points(metrics, runs).withColumns(
-        {"week": iso_week(F.col("run_at")), "monday": iso_week_monday(F.col("run_at"))}
-    )
+    """Done runs folded per ISO week of the day the run was made on, where it was made."""
+    points = metrics_of_done_runs(metrics, runs)
+    day = run_day(points)
+    points = points.withColumns({"week": iso_week(day), "monday": iso_week_monday(day)})
     return fold_metrics(points, [*SERIES, "lens", "week", "monday"], F.count(F.lit(1)).alias("n_runs"))
 
 

@@ -24,9 +24,16 @@ def runs_with_brand(runs: DataFrame, brands: DataFrame) -> DataFrame:
     )
 
 
+def run_day(runs: DataFrame) -> Column:
+    """Date of a run at the offset its time was given in, where the table keeps it (``run_day``); else by the session's zone."""
+    day = F.to_date("run_at")
+    return F.coalesce(F.col("run_day"), day) if "run_day" in runs.columns else day
+
+
 def metrics_of_done_runs(metrics: DataFrame, runs: DataFrame) -> DataFrame:
-    """Metric rows of done runs, with run time and repeat tag."""
-    done = completed_only(runs).select("run_id", "brand_id", "engine", "run_at", "group_id")
+    """Metric rows of done runs, with run time, repeat tag and the run's own day if the table keeps it."""
+    kept = [c for c in ("run_day",) if c in runs.columns]
+    done = completed_only(runs).select("run_id", "brand_id", "engine", "run_at", "group_id", *kept)
     return metrics.drop("brand_id", "engine").join(done, "run_id")
 
 

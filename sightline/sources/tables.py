@@ -7,8 +7,9 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions import normalize_target
+from ..functions import day_as_written, normalize_target
 from ..functions.text import brand_match_key, normalize_brand_name
 from ..operators.captures import CAPTURE_KEY
 from ..operators.skew import first_per_key
@@ -194,13 +195,22 @@ def upsert_brands(brands: DataFrame, requested: DataFrame) -> DataFrame:
 
 
 def open_runs(runs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Runs with one new running run per request (brand_id, engine, run_at, group_id)."""
+    """Runs with one new running run per request (brand_id, engine, run_at, group_id).
+
+    Where ``run_at`` of the requests is text, the day it names at its own offset is kept beside the instant
+    (``run_day``), so that the run stays in its week whatever zone a session has; runs from before have none.
+    """
     none = F.lit(None)
+    if isinstance(requests.schema["run_at"].dataType, StringType):
+        requests = requests.withColumns({"run_at": F.try_to_timestamp(F.trim("run_at")), "run_day": day_as_written(F.col("run_at"))})
+    if "run_day" in requests.columns and "run_day" not in runs.columns:
+        runs = runs.withColumn("run_day", none.cast("date"))
+    day = [F.col("run_day") if "run_day" in requests.columns else none.cast("date").alias("run_day")] if "run_day" in runs.columns else []
     fresh = requests.select(
         made_id("brand_id", "engine", "run_at", F.coalesce("group_id", F.lit(""))).alias("run_id"),
         "brand_id", "engine", "run_at", F.lit("running").alias("status"),
         none.cast("int").alias("n_queries"), none.cast("int").alias("n_ok"), none.cast("int").alias("n_failed"),
-        "group_id",
+        "group_id", *day,
     )
     return runs.select(*fresh.columns).unionByName(fresh)
 

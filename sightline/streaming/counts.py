@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import best_rank, iso_week, iso_week_monday
 from ..operators.captures import CAPTURE_KEY
 from ..operators.metrics import funnel_ratios
-from ..operators.runs import SERIES, completed_only
+from ..operators.runs import SERIES, completed_only, run_day
 from ..operators.skew import first_per_key
 from ..schemas import ALL, METRIC_COLUMNS
 from ..sources.tables import stored_keys, write_captures
@@ -48,7 +48,7 @@ def stream_weekly_trend(stream: DataFrame, runs: DataFrame) -> DataFrame:
     of runs that are not done are left out; a run counts from its first capture on.  ``runs`` is joined as it is when a
     batch starts.
     """
-    done = completed_only(runs).select("run_id", *SERIES, iso_week(F.col("run_at")).alias("week"), iso_week_monday(F.col("run_at")).alias("monday"))
+    done = completed_only(runs).select("run_id", *SERIES, iso_week(run_day(runs)).alias("week"), iso_week_monday(run_day(runs)).alias("monday"))
     seen = F.coalesce(F.col("overview_present"), F.lit(False))
     rows = stream.select(
         "run_id", F.explode(F.array(F.col("lens"), F.lit(ALL))).alias("lens"), seen.alias("seen"),

@@ -14,6 +14,7 @@ from sightline.operators import rollups as R
 from sightline.operators import runs as S
 from sightline.operators.captures import capture_links, match_links_to_targets
 from sightline.plans.views import view_metrics_today
+from sightline.sources.tables import open_runs
 from sightline.schemas import BRANDS, LENS_SENTIMENT, METRICS, METRIC_COLUMNS, RESULTS, RUNS
 
 T0 = dt.datetime(2026, 9, 1)
@@ -139,6 +140,18 @@ def test_week_folds_runs(spark):
     assert len(got) == 1 and (got[0]["n_runs"], got[0]["week"], got[0]["n_overviews"]) == (2, "2026-W36", 18)
 
 
+def test_a_run_stays_in_the_week_of_its_own_offset(spark):
+    asked = [(1, "google", f"2026-09-{d}", None) for d in ("06T23:00:00-05:00", "07T01:00:00+09:00", "07 12:00:00")] + [(1, "google", "soon", None)]
+    runs = open_runs(spark.createDataFrame([run(1)], RUNS), spark.createDataFrame(asked, "brand_id LONG, engine STRING, run_at STRING, group_id STRING"))
+    days = [r["run_day"] and r["run_day"].isoformat() for r in runs.orderBy("run_at", "status").where("status = 'running' AND run_at IS NOT NULL").collect()]
+    assert sorted(days) == ["2026-09-06", "2026-09-07", "2026-09-07"]
+    assert runs.where("run_day IS NULL").count() == 2
+    done = runs.where("run_at IS NOT NULL").withColumn("status", F.lit("done"))
+    m = done.select("run_id", "brand_id", "engine", F.lit("all").alias("lens"), *[F.lit(1).cast("bigint").alias(c) for c in METRIC_COLUMNS])
+    weeks = {r["week"]: r["n_runs"] for r in R.weekly_rollup(m, done.where("run_day IS NOT NULL")).collect()}
+    assert weeks == {"2026-W36": 1, "2026-W37": 2}
+
+
 def test_period_of_one_run_is_that_run(spark):
     m, r = _metric_tables(spark, GROUP[:1], [run(1)])
     a, b = R.period_rollup(m, r).collect()[0], m.collect()[0]
