@@ -198,3 +198,25 @@ def test_upserts_and_patches(spark):
     assert once.count() == 2
     twice = T.upsert_brands(once, asked)
     assert sorted(r["brand_id"] for r in once.collect()) == sorted(r["brand_id"] for r in twice.collect())
+
+
+def test_usual_form_gives_what_the_field_rules_give(spark):
+    odd = [
+        {}, {"sources": [None]}, {"sources": None}, {"sources": [{"rank": 1, "url": "u"}]}, {"sources": [{"rank": None, "url": "u", "domain": "a.com"}]},
+        {"sources": [{"rank": "1.0", "url": "u", "domain": "a.com"}, {"rank": " 2", "url": "u", "domain": "b.com"}]},
+        {"sources": [{"rank": 1, "url": "u", "domain": "a.com"}, {"rank": "x", "url": "u", "domain": "b.com"}]},
+        {"sources": [{"rank": 1, "url": "u", "domain": "a.com", "title": "t"}]}, {"sources": [[1]]}, {"sources": []}, {"extra": 1},
+        {"target_source_ranks": [1, None]}, {"target_source_ranks": ["1"]}, {"target_source_ranks": [0]}, {"target_citation_ranks": [1, 2]},
+        {"overview_present": "YES"}, {"overview_present": 1}, {"overview_present": "maybe"}, {"overview_present": None}, {"brand_in_answer_text": "f"},
+        {"query": None}, {"query": 5}, {"query": ""}, {"lens": "General"}, {"sentiment": None}, {"sentiment": 1}, {"answer_text_md": None},
+        {"captured_at": "2026-01-02"}, {"captured_at": "2026-13-02T00:00:00Z"}, {"captured_at": "2026-01-02T03:04:05+02:00"}, {"captured_at": 1767225600},
+        {"captured_at": "1767225600"}, {"captured_at": " 2026-01-02T03:04Z "}, {"citations": [{"rank": 1, "url": "u", "domain": "z.org"}]},
+    ]
+    objects = [json.dumps({**GOOD, **o}) for o in odd]
+    objects += [json.dumps({k: v for k, v in GOOD.items() if k != gone}) for gone in GOOD] + ["[]", "3", "null", "{", "{}"]
+    raw = spark.createDataFrame(list(enumerate(objects)), "index LONG, body STRING").select("index", F.try_parse_json("body").alias("raw"))
+    refusal = F.struct(F.lit("").alias("field"), F.lit("Input should be a valid dictionary or instance of QueryCapture").alias("msg"))
+    want = V.read_fields(raw, V.FIELDS, refusal).orderBy("index").collect()
+    assert V.v_coerce(raw).orderBy("index").collect() == want
+    plain = raw.select("index", V._usual(F.col("raw")).alias("u")).where("u IS NOT NULL").count()
+    assert plain >= 20  # the usual form is met by most of these, also by those with a wrong value
