@@ -220,3 +220,28 @@ def test_usual_form_gives_what_the_field_rules_give(spark):
     assert V.v_coerce(raw).orderBy("index").collect() == want
     plain = raw.select("index", V._usual(F.col("raw")).alias("u")).where("u IS NOT NULL").count()
     assert plain >= 20  # the usual form is met by most of these, also by those with a wrong value
+
+
+def test_stored_quarantine_types_no_row_twice(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [(1, i, json.dumps(o)) for i, o in enumerate([GOOD, {**GOOD, "lens": "x"}, {**GOOD, "query": "r"}])], "run_id LONG, index LONG, body STRING"
+    ).select("run_id", "index", F.try_parse_json("body").alias("raw"))
+    valid, errors = V.quarantine(raw, str(tmp_path / "checked"), ["query", "lens"])
+    assert valid.columns == ["run_id", "index", "query", "lens"]
+    assert "raw" not in valid._jdf.queryExecution().optimizedPlan().toString() and "checked" in errors.inputFiles()[0]
+    assert sorted(map(tuple, valid.collect())) == [(1, 0, "q", "general"), (1, 2, "r", "general")]
+    plain = V.quarantine(raw)
+    assert plain[0].select(*valid.columns).exceptAll(valid).count() == 0 and plain[1].exceptAll(errors).count() == 0
+
+
+def test_ingest_leaves_no_typed_rows_behind_and_stores_whole_captures(spark, tmp_path):
+    objects = [{**GOOD, "sources": [LINK], "sentiment": " s "}, {**GOOD, "lens": "x"}, {**GOOD, "query": "r"}, GOOD]
+    raw = spark.createDataFrame([(1, i, json.dumps(o)) for i, o in enumerate(objects)], "run_id LONG, index LONG, body STRING")
+    raw = raw.select("run_id", "index", F.try_parse_json("body").alias("raw"))
+    ingest_batch(raw, str(tmp_path), 0)
+    ingest_batch(raw.limit(0), str(tmp_path), 1)
+    kept = {r["query"]: r for r in T.read_or_empty(spark, f"{tmp_path}/results", RESULTS).collect()}
+    assert set(kept) == {"q", "r"} and kept["q"]["sentiment"] == " s " and kept["q"]["sources"][0]["domain"] == "a.com"
+    outcomes = spark.read.parquet(f"{tmp_path}/outcomes").where("batch_no = 0").select("index", "outcome").collect()
+    assert sorted(map(tuple, outcomes)) == [(0, "ok"), (1, "error"), (2, "ok"), (3, "skipped")]
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith("_checked")]
