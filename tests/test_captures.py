@@ -16,6 +16,7 @@ from sightline.operators import validation as V
 from sightline.schemas import LENS_SENTIMENT, RESULTS, RUNS
 from sightline.session import scratch_path
 from sightline.sources import tables as T
+from sightline.sources.arrays import read_array
 from sightline.streaming import ingest_batch, stream_captures
 
 GOOD = {
@@ -245,3 +246,23 @@ def test_ingest_leaves_no_typed_rows_behind_and_stores_whole_captures(spark, tmp
     outcomes = spark.read.parquet(f"{tmp_path}/outcomes").where("batch_no = 0").select("index", "outcome").collect()
     assert sorted(map(tuple, outcomes)) == [(0, "ok"), (1, "error"), (2, "ok"), (3, "skipped")]
     assert not [p.name for p in tmp_path.iterdir() if p.name.startswith("_checked")]
+
+
+ODD_ARRAYS = [
+    "[1,2,3]", "[1],[2]", "[1]] , [[2]", "[1] x", "x [1]", "[1,2,", "[1,,2]", "[]", " [ ] ", "", ",", " ", '{"a":1}', '"s"', "﻿[1,2]",
+    '[{"a":"x,]\\" ["},[1,[2]],"q"]\n', "[1,2]]", "[[1,2]", "[NaN,1]", "[1,2],", "[1 2]", "null", "[null, 1]", "[1,2] []", "[1,2]]]", "[1]\n[2]",
+]
+
+
+def test_small_array_files_are_read_whole_with_the_rows_that_cutting_gives(spark, tmp_path):
+    for i, text in enumerate(ODD_ARRAYS):
+        (tmp_path / f"f{i:02}.json").write_text(text, encoding="utf-8")
+
+    def rows(**how):
+        read = read_array(spark, str(tmp_path), **how)
+        return sorted(map(tuple, read.select(F.element_at(F.split("file", "/"), -1), "index", F.coalesce(F.to_json("raw"), F.lit("none"))).collect()))
+
+    whole, cut = rows(), rows(whole_file=-1)
+    assert whole == cut and [r[1:] for r in whole if r[0] == "f00.json"] == [(0, "1"), (1, "2"), (2, "3")]
+    good = read_array(spark, str(tmp_path)).where("index >= 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode(elements" in good  # no shuffle of what is read whole
