@@ -10,13 +10,14 @@
   A block keeps track of what it has linked, so it compares no two texts of one component and puts out only the links
   that join components: fewer than it has texts.
 * Components are contracted after every round: later rounds see only tiles that are still apart, and only what joins
-  the components so far.
+  the components so far.  Once a round links few of the texts it compares, only large tiles get further rounds.
+* Bitmaps are stored, sorted arrays are made again from the texts that a step has left to intersect.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ LEAST_BITS = 512
 BLOCK, BLOCK_MEMBERS = 512, 1 << 18
 SMALL_TILE = 64
 STAR_ROUNDS = 8
+LEAST_LINKED = 1 / 16
 FILTER_BITS = 1 << 22
 BYTES_AT_ONCE = 1 << 19
 
@@ -203,30 +205,27 @@ def _only(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return kept.select(*names)
 
 
-def _arrays(docs: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame) -> DataFrame:
-    """(id, members, bits): sorted set and bitmap of each of the given documents (and of a few others)."""
-    schema = T.StructType(
-        [
-            field(docs, id_col, "id"), T.StructField("n", T.LongType()), T.StructField("members", T.ArrayType(T.LongType())),
-            T.StructField("bits", T.BinaryType()),
-        ]
-    )
+def _arrays(docs: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame, *columns: str) -> DataFrame:
+    """(id, n, columns) of each of the given documents (and of a few others): ``members``, the sorted set, ``bits``, its bitmap."""
+    kinds = {"members": T.ArrayType(T.LongType()), "bits": T.BinaryType()}
+    schema = T.StructType([field(docs, id_col, "id"), T.StructField("n", T.LongType()), *(T.StructField(c, kinds[c]) for c in columns)])
+
+    def bitmaps(doc, h, size):
+        widths, maps = _widths(size), [b""] * len(size)
+        for width in np.unique(widths):
+            of = np.flatnonzero(widths == width)
+            cells = np.zeros((len(of), width), np.uint8)
+            mine = widths[doc] == width
+            cells[np.searchsorted(of, doc[mine]), (h[mine] >> U(40)).astype(np.int64) % width] = 1
+            for i, m in zip(of, np.packbits(cells, axis=1), strict=True):
+                maps[i] = m.tobytes()
+        return pa.array(maps, pa.binary())
 
     def run(batches):
         for part, data, bounds in _parts(batches, 1):
             doc, h, size = _sets(data, bounds, n)
-            widths, maps = _widths(size), [b""] * len(size)
-            for width in np.unique(widths):
-                of = np.flatnonzero(widths == width)
-                cells = np.zeros((len(of), width), np.uint8)
-                mine = widths[doc] == width
-                cells[np.searchsorted(of, doc[mine]), (h[mine] >> U(40)).astype(np.int64) % width] = 1
-                for i, m in zip(of, np.packbits(cells, axis=1), strict=True):
-                    maps[i] = m.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(size.astype(np.int64)), _lists(h.view(np.int64), size, pa.int64()), pa.array(maps, pa.binary())],
-                names=["id", "n", "members", "bits"],
-            )
+            made = [bitmaps(doc, h, size) if c == "bits" else _lists(h.view(np.int64), size, pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), *made], names=["id", "n", *columns])
 
     return _only(docs.select(id_col, text_col), id_col, ids).mapInArrow(run, schema)
 
@@ -292,8 +291,7 @@ def similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    met = _with_both(pairs, _only(arrays.select("id", "members"), "id", ids), "members")
+    met = _with_both(pairs, arrays, "members")
     return met.where(reach("x_members", "y_members")).select(*pairs.columns)
 
 
@@ -346,9 +344,9 @@ def _ordered(x: str, cx: str, y: str, cy: str) -> list[Column]:
     ]
 
 
-def _small_pairs(sized: DataFrame, percent: int) -> DataFrame:
+def _small_pairs(few: DataFrame, percent: int) -> DataFrame:
     """All other pairs of the small tiles, each once."""
-    few = sized.where(F.col("size") <= SMALL_TILE).select("member", "tile", "rep", "n", "comp")
+    few = few.select("member", "tile", "rep", "n", "comp")
     other = few.select("member", "tile", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp")))
     met = few.join(other, ["member", "tile"]).where("rep < rep2 AND comp <> comp2").where(_near_in_size("n", "n2", percent))
     return met.select(*_ordered("rep", "comp", "rep2", "comp2")).distinct()
@@ -418,34 +416,34 @@ def block_hopes(own: np.ndarray, n: np.ndarray, comp: np.ndarray, bits, percent:
     return np.flatnonzero(hope)
 
 
-def _large_links(sized: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """(ca, cb): what joins the components of the large tiles, block by block.
+def _large_links(many: DataFrame, maps: DataFrame, arrays_of: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, str]:
+    """(ca, cb): what joins the components of the large tiles, block by block; and the path of a table that it reads.
 
-    First with bitmaps alone, which tells the texts that may have a link at all; only these get their sorted arrays.
+    First with bitmaps alone, which tells the texts that may have a link at all; only these get their sorted arrays, from
+    ``arrays_of`` their ids.
     """
     columns = ["member", "tile", "rep", "n", "comp"]
-    many = sized.where(F.col("size") > SMALL_TILE).select(*columns)
-    kinds = {c: sized.schema[c].dataType.simpleString() for c in columns}
-    maps = arrays.select(F.col("id").alias("rep"), "bits")
+    kinds = {c: many.schema[c].dataType.simpleString() for c in columns}
+    maps = maps.select(F.col("id").alias("rep"), "bits")
 
-    def arrays_of(rows: pa.Table) -> list[np.ndarray]:
+    def numbers(rows: pa.Table) -> list[np.ndarray]:
         return [rows[c].to_numpy() for c in ("own", "n", "comp")]
 
     def hopeful(rows: pa.Table) -> pa.Table:
-        return rows.take(pa.array(block_hopes(*arrays_of(rows), rows["bits"].to_pylist(), percent))).select(columns)
+        return rows.take(pa.array(block_hopes(*numbers(rows), rows["bits"].to_pylist(), percent))).select(columns)
 
-    found = _in_blocks(many).join(maps, "rep").groupBy("member", "tile", "x", "y")
-    hopes = stored(found.applyInArrow(hopeful, ", ".join(f"{c} {k}" for c, k in kinds.items())).distinct(), "tiles")
-    sets = _only(arrays.select("id", "bits", "members"), "id", hopes.select(F.col("rep").alias("id")).distinct())
+    found = _in_blocks(many.select(*columns)).join(maps, "rep").groupBy("member", "tile", "x", "y")
+    hopes, path = stored_at(found.applyInArrow(hopeful, ", ".join(f"{c} {k}" for c, k in kinds.items())).distinct(), "tiles")
+    sets = arrays_of(hopes.select(F.col("rep").alias("id")).distinct()).select("id", "bits", "members")
     dealt = _in_blocks(hopes).join(sets.withColumnRenamed("id", "rep"), "rep")
 
     def compare(rows: pa.Table) -> pa.Table:
         members = [np.asarray(m.values).view(U) for m in rows["members"]]
-        links = block_links(*arrays_of(rows), rows["bits"].to_pylist(), members, percent)
+        links = block_links(*numbers(rows), rows["bits"].to_pylist(), members, percent)
         kind = rows.schema.field("comp").type
         return pa.table({"ca": pa.array([a for a, _ in links], kind), "cb": pa.array([b for _, b in links], kind)})
 
-    return dealt.groupBy("member", "tile", "x", "y").applyInArrow(compare, f"ca {kinds['comp']}, cb {kinds['comp']}")
+    return dealt.groupBy("member", "tile", "x", "y").applyInArrow(compare, f"ca {kinds['comp']}, cb {kinds['comp']}"), path
 
 
 def ngram_join(
@@ -460,50 +458,77 @@ def ngram_join(
     """
     spark = docs.sparkSession
     counts = member_counts(docs, text_col, words)
-    sets = stored(_rare_members(docs, id_col, text_col, words, percent, counts), "sets")
-    known = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    reps, reps_path = stored_at(known.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.min_by("rare", "id").alias("rare")), "reps")
-    listed = reps.select("rep", "n", F.explode("rare").alias("member"))
-    shared = listed.groupBy("member").agg(F.count("*").alias("k")).where("k > 1").select("member")
+    wide, wide_path = stored_at(_rare_members(docs, id_col, text_col, words, percent, counts), "sets")
+    worded = F.col("id").isNotNull() & (F.col("n") > 0)
+    of = F.min("id").alias("rep"), F.min_by("rare", "id").alias("rare")
+    reps, reps_path = stored_at(wide.where(worded).groupBy("s1", "s2", "n").agg(*of), "reps")
+    sets = stored(wide.select("id", "n", "s1", "s2"), "sets")
+    known = sets.where(worded)
+    discard(spark, wide_path)
+    # both sides of the join read all columns of one exchange, so that the list is shuffled once
+    listed = reps.select("rep", "n", F.explode("rare").alias("member")).repartition("member")
+    shared = listed.groupBy("member").agg(F.count("rep").alias("k"), F.min("n").alias("least"), F.max("n").alias("most"))
+    shared = shared.where((F.col("k") > 2) | (F.col("k") == 2) & _near_in_size("least", "most", percent)).select("member")
     band = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
     tiles = listed.join(shared, "member").withColumn("tile", F.explode(F.array(band, band + 1)))
     tiles, all_path = stored_at(tiles.select("member", "tile", "rep", "n"), "tiles")
     discard(spark, reps_path)
-    live, path = stored_at(tiles.join(_different(tiles), ["member", "tile"]).withColumn("comp", F.col("rep")), "tiles")
+    live, live_path = stored_at(tiles.join(_different(tiles), ["member", "tile"]).withColumn("comp", F.col("rep")), "tiles")
     discard(spark, all_path)
-    arrays = stored(_arrays(docs, id_col, text_col, words, live.select(F.col("rep").alias("id")).distinct()), "arrays")
-    joins = []
 
-    def contract(links: DataFrame) -> None:
-        """Join components along the links; tiles that are no longer apart go."""
-        nonlocal live, path
-        joins.append(components(links, "ca", "cb"))
-        named, old = _relabelled(live, joins[-1]), path
-        live, path = stored_at(named.join(_apart(named), ["member", "tile"]), "tiles")
-        discard(spark, old)
+    def arrays_of(ids: DataFrame, *columns: str) -> DataFrame:
+        return _arrays(docs, id_col, text_col, words, ids, *columns)
+
+    maps, maps_path = stored_at(arrays_of(live.select(F.col("rep").alias("id")).distinct(), "bits"), "maps")
+    joins = []
 
-    def verified(pairs: DataFrame) -> tuple[DataFrame, str]:
-        near, near_path = stored_at(possible(pairs, arrays, percent), "pairs")
+    def verified(pairs: DataFrame, maps: DataFrame) -> tuple[DataFrame, str]:
+        near, near_path = stored_at(possible(pairs, maps, percent), "pairs")
+        arrays = arrays_of(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
         links, links_path = stored_at(similar(near, arrays, percent).select("ca", "cb").distinct(), "links")
         discard(spark, near_path)
         return links, links_path
 
-    for seed in range(STAR_ROUNDS):
-        found, found_path = verified(_star_pairs(live, seed, percent))
-        none = found.isEmpty()
-        if not none:
-            contract(found)
-        discard(spark, found_path)
-        if none:
-            break
+    def by_stars(tiles: DataFrame, path: str, maps: DataFrame, seeds: Iterator[int], least: float) -> tuple[DataFrame, str]:
+        """The tiles still apart after rounds of stars; the last is one that links fewer than ``least`` of its pairs, or none."""
+        for seed in seeds:
+            pairs, pairs_path = stored_at(_star_pairs(tiles, seed, percent), "stars")
+            compared = pairs.count()
+            if not compared:
+                discard(spark, pairs_path)
+                break
+            links, links_path = verified(pairs, maps)
+            linked = links.count()
+            if linked:
+                joins.append(components(links, "ca", "cb"))
+                named, old = _relabelled(tiles, joins[-1]), path
+                tiles, path = stored_at(named.join(_apart(named), ["member", "tile"]), "tiles")
+                discard(spark, old)
+            discard(spark, pairs_path)
+            discard(spark, links_path)
+            if linked == 0 or linked < least * compared:
+                break
+        return tiles, path
+
+    seeds = iter(range(STAR_ROUNDS))
+    live, live_path = by_stars(live, live_path, maps, seeds, LEAST_LINKED)
     size = live.groupBy("member", "tile").agg(F.count("*").alias("size"))
-    sized = stored(live.join(size, ["member", "tile"]), "tiles")
-    few, few_path = verified(_small_pairs(sized, percent))
-    last, last_path = stored_at(few.union(_large_links(sized, arrays, percent)).distinct(), "links")
+    sized, sized_path = stored_at(live.join(size, ["member", "tile"]), "tiles")
+    discard(spark, live_path)
+    done = len(joins)
+    many, many_path = stored_at(sized.where(F.col("size") > SMALL_TILE).drop("size"), "tiles")
+    of_many, of_many_path = stored_at(maps.join(many.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "maps")
+    many, many_path = by_stars(many, many_path, of_many, seeds, 0)
+    few = sized.where(F.col("size") <= SMALL_TILE)
+    for joined in joins[done:]:
+        few = _relabelled(few, joined)
+    few, few_path = verified(_small_pairs(few, percent), maps)
+    large, large_path = _large_links(many, of_many, lambda ids: arrays_of(ids, "members", "bits"), percent)
+    last, last_path = stored_at(few.union(large).distinct(), "links")
     if not last.isEmpty():
         joins.append(components(last, "ca", "cb"))
-    for done in (path, few_path, last_path):
-        discard(spark, done)
+    for path in (sized_path, many_path, maps_path, of_many_path, few_path, large_path, last_path):
+        discard(spark, path)
     named = known.groupBy("s1", "s2", "n").agg(F.min("id").alias("comp"))
     for joined in joins:
         named = _relabelled(named, joined)

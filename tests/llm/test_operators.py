@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from sightline import session  # noqa: E402
 from sightline.llm import (  # noqa: E402
     common, fingerprints, knn_join, language_id, line_dedup, ngram_join, packing, pii, piece_codec, queries, sharding, toxicity,
 )
@@ -144,6 +147,33 @@ def test_links_of_near_copies_in_a_hot_group(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {d: (len(grams[d]), comp[d]) for d in made}
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def kept():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        files = env.blockManager().diskBlockManager().getAllFiles().toList()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = kept(), spark.conf.get(common.SHUFFLE_CLEANUP)
+    found = common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"), "counts")
+    for _ in range(50):  # files go a moment after the write
+        if not kept() - before:
+            break
+        time.sleep(0.1)
+    assert not kept() - before and spark.conf.get(common.SHUFFLE_CLEANUP) == setting
+    assert {(r["k"], r["count"]) for r in found.collect()} == {(k, 143 if k < 6 else 142) for k in range(7)}
+
+
+def test_near_copies_keep_no_arrays_on_disk_beside_the_result(spark):
+    rng, top = random.Random(5), session.shared_dir(spark).removeprefix("file:")
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for i in range(150)]
+    rows += [(200 + i, t + " more") for i, t in rows[:100]]
+    before = set(os.listdir(top))
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(top)) - before}
+    assert left <= {"sets", "labels", "filter"}
+    assert "rare" not in found.columns and sum(r["doc_id"] != r["component_id"] for r in found.collect()) == 100
+
+
 def test_of_tiles_with_the_same_texts_one_is_kept(spark):
     held = {(1, 0): (1, 2, 3), (1, 1): (1, 2, 3), (2, 0): (1, 2, 3), (3, 0): (1, 2), (4, 0): (2, 3), (5, 0): (4,), (6, 0): (2, 1)}
     rows = [(m, t, r) for (m, t), reps in held.items() for r in reps]
