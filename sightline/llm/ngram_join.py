@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -317,6 +318,15 @@ def _relabelled(rows: DataFrame, joined: DataFrame, column: str = "comp") -> Dat
     return rows.join(new, column, "left").withColumn(column, F.coalesce("__into", column)).select(*rows.columns)
 
 
+def _in_one(joins: list[DataFrame]) -> DataFrame:
+    """(node, comp): what some tables of components, each of the components of the one before, come to as a whole."""
+    nodes = reduce(DataFrame.union, [joined.select("node") for joined in joins]).distinct()
+    named = nodes.withColumn("comp", F.col("node"))
+    for joined in joins:
+        named = _relabelled(named, joined)
+    return stored(named, "labels")
+
+
 def _apart(named: DataFrame, *more: Column) -> DataFrame:
     """(member, tile, more aggregates) of the tiles that hold more than one component."""
     of = named.groupBy("member", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *more)
@@ -520,18 +530,19 @@ def ngram_join(
     of_many, of_many_path = stored_at(maps.join(many.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "maps")
     many, many_path = by_stars(many, many_path, of_many, seeds, 0)
     few = sized.where(F.col("size") <= SMALL_TILE)
-    for joined in joins[done:]:
-        few = _relabelled(few, joined)
+    if joins[done:]:
+        few = _relabelled(few, _in_one(joins[done:]))
+    few, small_path = stored_at(few.drop("size"), "tiles")
     few, few_path = verified(_small_pairs(few, percent), maps)
     large, large_path = _large_links(many, of_many, lambda ids: arrays_of(ids, "members", "bits"), percent)
     last, last_path = stored_at(few.union(large).distinct(), "links")
     if not last.isEmpty():
         joins.append(components(last, "ca", "cb"))
-    for path in (sized_path, many_path, maps_path, of_many_path, few_path, large_path, last_path):
+    for path in (sized_path, many_path, maps_path, of_many_path, small_path, few_path, large_path, last_path):
         discard(spark, path)
     named = known.groupBy("s1", "s2", "n").agg(F.min("id").alias("comp"))
-    for joined in joins:
-        named = _relabelled(named, joined)
+    if joins:
+        named = _relabelled(named, _in_one(joins))
     joined = known.select("id", "s1", "s2", "n").join(named, ["s1", "s2", "n"]).select("id", "n", "comp")
     rest = sets.where(F.col("id").isNull() | (F.col("n") == 0)).select("id", "n", F.col("id").alias("comp"))
     return joined.union(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))

@@ -174,6 +174,12 @@ def test_near_copies_keep_no_arrays_on_disk_beside_the_result(spark):
     assert "rare" not in found.columns and sum(r["doc_id"] != r["component_id"] for r in found.collect()) == 100
 
 
+def test_joined_components_are_composed(spark):
+    joins = [spark.createDataFrame(rows, "node bigint, comp bigint") for rows in ([(1, 1), (2, 1), (5, 5), (6, 5)], [(1, 1), (5, 1), (9, 9), (12, 9)], [(0, 0), (1, 0)])]
+    found = {r["node"]: r["comp"] for r in ngram_join._in_one(joins).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 5: 0, 6: 0, 9: 9, 12: 9}
+
+
 def test_of_tiles_with_the_same_texts_one_is_kept(spark):
     held = {(1, 0): (1, 2, 3), (1, 1): (1, 2, 3), (2, 0): (1, 2, 3), (3, 0): (1, 2), (4, 0): (2, 3), (5, 0): (4,), (6, 0): (2, 1)}
     rows = [(m, t, r) for (m, t), reps in held.items() for r in reps]
