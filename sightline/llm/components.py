@@ -11,7 +11,7 @@ from .common import discard, stored_at
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for each end of a link; comp: the smallest node that can be reached.
 
-    Every node takes the smallest label among its own, its neighbours' and its label's own, until none changes.
+    Every node takes the label that the smallest one among its own and its neighbours' has itself, until none changes.
     The labels of each round are written to the shared folder; nothing but a count comes to the driver.
     """
     ends = links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
@@ -19,14 +19,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ends, ends_path = stored_at(ends.union(ends.select("dst", "src")).where("src <> dst").distinct(), "links")
     labels, path = stored_at(ends.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("comp")), "labels")
     while True:
-        near = (
-            ends.join(labels.select(F.col("node").alias("dst"), "comp"), "dst")
-            .groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("near"))
-        )
-        beyond = labels.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
+        near = ends.join(labels.select(F.col("node").alias("dst"), "comp"), "dst")
+        seen = labels.select("node", F.col("comp").alias("own"), "comp").union(near.select("src", F.lit(None), "comp"))
+        least = seen.groupBy("node").agg(F.max("own").alias("own"), F.min("comp").alias("low"))
+        beyond = labels.select(F.col("node").alias("low"), F.col("comp").alias("beyond"))  # not larger than its node
         new, new_path = stored_at(
-            labels.join(near, "node").join(beyond, "comp")
-            .select("node", F.least("comp", "near", "beyond").alias("comp"), (F.least("near", "beyond") < F.col("comp")).alias("moved")),
+            least.join(beyond, "low").select("node", F.col("beyond").alias("comp"), (F.col("beyond") < F.col("own")).alias("moved")),
             "labels",
         )
         discard(spark, path)

@@ -186,9 +186,12 @@ def _rare_members(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
 
 
 def _filter_words(ids: DataFrame) -> DataFrame:
-    """(w, b): a bit filter over the ids, in at most FILTER_BITS / 32 rows; what it lets through is joined exactly."""
+    """(words): one row, a bit filter over the ids in FILTER_BITS / 64 numbers; what it lets through is joined exactly."""
     spots = ids.select(F.explode(F.array(*_spots("id"))).alias("p"))
-    return spots.groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 32))")).alias("b"))
+    of = spots.groupBy((F.col("p") / 64).cast("bigint").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("b"))
+    every = ids.sparkSession.range(FILTER_BITS // 64).withColumnRenamed("id", "w").join(of, "w", "left")
+    held = F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))))
+    return every.agg(F.transform(held, lambda s: s["b"]).alias("words"))
 
 
 def _spots(col: str) -> list:
@@ -197,13 +200,11 @@ def _spots(col: str) -> list:
 
 def _only(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of the given ids and a few others, before anything of them is shuffled or sent to Python."""
-    words, names = stored(_filter_words(ids), "filter"), df.columns
-    kept = df.where(F.col(id_col).isNotNull())
-    for i, spot in enumerate(_spots(id_col)):
-        word = F.broadcast(words.select(F.col("w").alias(f"__w{i}"), F.col("b").alias(f"__b{i}")))
-        kept = kept.withColumn(f"__p{i}", spot).withColumn(f"__w{i}", (F.col(f"__p{i}") / 32).cast("int"))
-        kept = kept.join(word, f"__w{i}").where(f"shiftright(__b{i}, int(__p{i} % 32)) & 1 = 1")
-    return kept.select(*names)
+    words = stored(_filter_words(ids), "filter").withColumnRenamed("words", "__words")  # 0.5 MB, however many ids
+    spots = {f"__p{i}": spot for i, spot in enumerate(_spots(id_col))}
+    inside = " AND ".join(f"shiftright(get(__words, int({p} / 64)), int({p} % 64)) & 1 = 1" for p in spots)
+    placed = df.where(F.col(id_col).isNotNull()).withColumns(spots)
+    return placed.join(F.broadcast(words), F.expr(inside)).select(*df.columns)
 
 
 def _arrays(docs: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame, *columns: str) -> DataFrame:

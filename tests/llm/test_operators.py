@@ -18,7 +18,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from sightline import session  # noqa: E402
 from sightline.llm import (  # noqa: E402
-    common, fingerprints, knn_join, language_id, line_dedup, ngram_join, packing, pii, piece_codec, queries, sharding, toxicity,
+    common, components, fingerprints, knn_join, language_id, line_dedup, ngram_join, packing, pii, piece_codec, queries, sharding, toxicity,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -128,6 +128,29 @@ def test_likeness_has_the_error_of_64_samples(spark):
     assert 0.3 < np.mean(list(want.values())) < 0.7 and abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.07
 
 
+def test_filter_of_ids_is_one_small_row(spark):
+    ids = spark.range(0, 30000, 3)
+    words = ngram_join._filter_words(ids).collect()
+    assert len(words) == 1 and len(words[0]["words"]) == ngram_join.FILTER_BITS // 64
+    docs = spark.range(30000).withColumn("t", F.lit("x")).union(spark.createDataFrame([(None, "x")], "id bigint, t string"))
+    kept = {r["id"] for r in ngram_join._only(docs, "id", ids).collect()}
+    assert None not in kept and {r["id"] for r in ids.collect()} <= kept and len(kept) < 10500
+    assert ngram_join._only(docs, "id", ids.limit(0)).count() == 0
+
+
+def test_components_of_paths_stars_and_single_links(spark):
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, j) for j in (200, 201, 3)] + [(50, 49), (61, 60), (60, 50), (8, 8)]
+    rng = random.Random(4)
+    links += [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(45)]
+    of = {x: x for link in links for x in link}
+    for _ in of:
+        for x, y in links:
+            of[x] = of[y] = min(of[x], of[y])
+    linked = {x for x, y in links if x != y} | {y for x, y in links if x != y}
+    found = components.components(spark.createDataFrame(links, "a bigint, b bigint"))
+    assert sorted(map(tuple, found.collect())) == sorted((x, of[x]) for x in linked)
+
+
 def test_links_of_near_copies_in_a_hot_group(spark):
     rng, base = random.Random(3), [f"w{i}" for i in range(60)]
     made = {0: " ".join(base), 1: " ".join(base)}
