@@ -7,59 +7,101 @@ documents have the same sample with the probability of their generalised Jaccard
 over the sum of the larger ones; weights need not be whole numbers.  What is compared is the logarithm,
 ln c - r (t - b + 1), in steps of 2^-40; a gamma value of shape 2 is -ln of the product of two uniform ones.  Everything is
 columns and SQL functions.
+
+Most words are ruled out without a logarithm.  With c = -ln(v1 v2) and r = -ln(u1 u2) no word compares lower than the logarithm
+of (2 - v1 - v2) u1 u2 / S, as -ln v >= 1 - v and r (t - b + 1) <= ln S + r; for S = 1, where t = 0, of that over
+1 - b (1 - u1 u2), as a geometric mean is not below the harmonic one.  The least of a document of n words is below
+REACH / n but once in e^REACH samples; only words that may be are worked out, and all words of a document where none was.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 SAMPLES = 64
+REACH = 20.0
+SLACK = 1.00001
 CELLS = 256
 MOST_BUCKETS = 1 << 20
 ROWS_IN_BUCKET = 2000
 
 
 def _terms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, term, w): a hash of each word and the logarithm of its count; texts without a word have one row with null."""
+    """(keys, n_words, term, weight, w): number of words, a hash of each word, its count and the logarithm of that.
+
+    Texts without a word have one row with 0 and null.
+    """
     words = F.filter(F.split(F.translate(F.col(text), "\n\r\t", "   "), " "), lambda w: w != "")
     hashed = df.select(*keys, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("hs"))
-    n = F.size("hs")
+    n = F.greatest(F.size("hs"), F.lit(0))
     begins = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get("hs", i) != F.get("hs", i - 1)))
-    runs = hashed.select(*keys, "hs", F.when(n > 0, begins).otherwise(F.array(F.lit(0))).alias("at"))
+    runs = hashed.select(*keys, "hs", n.alias("n_words"), F.when(n > 0, begins).otherwise(F.array(F.lit(0))).alias("at"))
     pairs = F.transform(
         F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(1))),
         lambda s, i: F.struct(F.get("hs", s).alias("term"), (F.get("at", i + 1) - s).alias("weight")),
     )
-    return runs.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.term", F.ln(F.col("p.weight").cast("double")).alias("w"))
+    rows = runs.select(*keys, "n_words", F.explode(pairs).alias("p")).select(*keys, "n_words", "p.term", "p.weight")
+    return rows.withColumn("w", F.ln(F.col("weight").cast("double")))
 
 
-def _draw(k: int) -> str:
-    """SQL of a whole number for (term, w) and a sample: the value to compare, and in the lower 16 bits what names word and t.
+def _draw(k: int) -> tuple[str, str]:
+    """SQL of a condition and a whole number for (term, w) and a sample, of ``_terms`` and a limit ``most``, with ``once`` 1 or 0.
 
-    Two hashes give five uniform numbers: 21 bits each for r and b, 31 bits each for c.  Null without a word.  Nothing here
-    is conditional, so what is stated twice is worked out once.
+    The condition holds where the value to compare, or rather its exponential times S, may be up to ``most``.  The number is
+    that value, and in the lower 16 bits what names word and t; null without a word.  Two hashes give five uniform numbers: 21
+    bits each for r and b, 31 bits each for c.
     """
     h1, h2 = f"xxhash64(term, {k})", f"xxhash64(term, {k}, 1)"
     part = lambda h, at, bits: f"((shiftrightunsigned({h}, {at}) & {(1 << bits) - 1}) + 0.5D) * {2.0**-bits!r}D"
-    r = f"(- ln({part(h1, 0, 21)} * {part(h1, 21, 21)}))"
+    u1, u2, v1, v2 = part(h1, 0, 21), part(h1, 21, 21), part(h2, 0, 31), part(h2, 32, 31)
+    r = f"(- ln({u1} * {u2}))"
     b = f"({part(h1, 42, 21)})"
-    c = f"ln(- ln({part(h2, 0, 31)} * {part(h2, 32, 31)}))"
+    c = f"ln(- ln({v1} * {v2}))"
     t = f"CAST(w / {r} + {b} AS BIGINT)"  # not negative, so cut off is rounded down
 
     # the bits drawn and counts of 31 bits keep values between -74 and 4
     value = f"CAST(({c} - {r} * ({t} - {b} + 1D) + 80D) * {2.0**40!r}D AS BIGINT)"
-    return f"shiftleft({value}, 16) | ((shiftrightunsigned({h2}, 7) + {t} * 40503L) & 65535L)"
+    drawn = f"shiftleft({value}, 16) | ((shiftrightunsigned({h2}, 7) + {t} * 40503L) & 65535L)"
+    return f"(2D - ({v1}) - ({v2})) * ({u1} * {u2}) <= most * (1D - once * {b} * (1D - ({u1} * {u2})))", drawn
 
 
-def signatures(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, sig) with one row for each value of the keys; sig has SAMPLES numbers of 16 bits, null without a word."""
-    draws = [F.min(F.expr(_draw(k))).alias(f"s{k}") for k in range(SAMPLES)]
-    drawn = _terms(df, text, keys).groupBy(*keys).agg(*draws)
-    sig = F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(SAMPLES)))
-    return drawn.select(*keys, F.when(F.col("s0").isNotNull(), sig).alias("sig"))
+def _drawn(df: DataFrame, text: str, keys: list[str], reach: float | None) -> DataFrame:
+    """(keys, sig, sure): signatures from the words that may compare below ``reach`` / n, or from all without it.
+
+    ``sure`` is false where a sample has no value below that limit, so that a word left out might have a lower one.
+    """
+    found = _terms(df, text, keys)
+    conditions, draws = zip(*(_draw(k) for k in range(SAMPLES)), strict=True)
+    if reach is not None:
+        found = found.withColumn("most", F.lit(reach * SLACK) * F.col("weight") / F.col("n_words"))
+        found = found.withColumn("once", F.when(F.col("weight") == 1, 1.0).otherwise(0.0))
+        draws = [f"CASE WHEN {may} THEN {draw} END" for may, draw in zip(conditions, draws, strict=True)]
+    drawn = found.groupBy(*keys).agg(F.max("n_words").alias("n_words"), *(F.min(F.expr(d)).alias(f"s{k}") for k, d in enumerate(draws)))
+    of = [F.col(f"s{k}") for k in range(SAMPLES)]
+    limit = F.lit(2.0**40) * (F.ln(F.lit(reach or 1.0) / F.col("n_words")) + 80)
+    below = F.coalesce(F.shiftright(F.greatest(*of), 16) < limit, F.lit(False)) & reduce(and_, [s.isNotNull() for s in of])
+    sure = F.lit(True) if reach is None else (F.col("n_words") == 0) | below
+    sig = F.when(F.col("n_words") > 0, F.array(*(s.bitwiseAND(F.lit(0xFFFF)).cast("int") for s in of)))
+    return drawn.select(*keys, sig.alias("sig"), sure.alias("sure"))
+
+
+def signatures(df: DataFrame, text: str, keys: list[str], reach: float = REACH) -> DataFrame:
+    """(keys, sig) with one row for each value of the keys, none of them null; sig has SAMPLES numbers of 16 bits, null without a word.
+
+    Signatures are written to the shared folder; those of documents with an unsure sample are then drawn from all words.
+    """
+    most = stored(_drawn(df, text, keys, reach), "signatures")
+    unsure = most.where("NOT sure")
+    if unsure.isEmpty():
+        return most.drop("sure")
+    whole = stored(_drawn(df.join(unsure.select(*keys), keys, "left_semi"), text, keys, None), "signatures")
+    return most.where("sure").union(whole).drop("sure")
 
 
 def as_text(sig: Column) -> Column:
@@ -145,7 +187,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     versions = numbered.select(
         "b", "rn", "id", F.char_length("text").cast("bigint").alias("n_chars"), "next_b", "next_rn", F.explode(both).alias("x")
     ).select(*keys[:6], "x.v", "x.sha", "x.t")
-    sigs = stored(signatures(versions, "t", keys), "signatures")
+    sigs = signatures(versions, "t", keys)
     own = sigs.where("v = 0").select("b", "rn", "id", "n_chars", "next_b", "next_rn", F.col("sig").alias("own"))
     edit = sigs.where("v = 1").select("b", "rn", "sha", F.col("sig").alias("edit"))
     after = own.select(F.col("b").alias("next_b"), F.col("rn").alias("next_rn"), F.col("own").alias("after"))

@@ -128,6 +128,20 @@ def test_likeness_has_the_error_of_64_samples(spark):
     assert 0.3 < np.mean(list(want.values())) < 0.7 and abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.07
 
 
+def test_words_that_cannot_be_the_sample_are_not_drawn(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(("a", "bb", f"w{rng.randrange(4 * n)}")) for _ in range(n))) for i, n in enumerate((0, 1, 2, 30, 400, 3000))]
+    docs = spark.createDataFrame([*rows, (9, None)], "i int, t string")
+    whole = {r["i"]: r["sig"] for r in fingerprints._drawn(docs, "t", ["i"], None).collect()}
+    for reach in (fingerprints.REACH, 1.0):  # with the smaller one most documents are drawn again from all words
+        assert {r["i"]: r["sig"] for r in fingerprints.signatures(docs, "t", ["i"], reach).collect()} == whole
+    unsure = fingerprints._drawn(docs, "t", ["i"], 1.0).where("NOT sure")
+    assert {3, 4, 5} <= {r["i"] for r in unsure.collect()} and whole[0] is whole[9] is None
+    terms = fingerprints._terms(docs.where("i = 5"), "t", ["i"]).withColumn("most", fingerprints.REACH * F.col("weight") / F.col("n_words"))
+    may = terms.withColumn("once", (F.col("weight") == 1).cast("double")).select(F.expr(fingerprints._draw(7)[0]).cast("int").alias("may"))
+    assert may.agg(F.avg("may")).first()[0] < 0.2
+
+
 def test_filter_of_ids_is_one_small_row(spark):
     ids = spark.range(0, 30000, 3)
     words = ngram_join._filter_words(ids).collect()
