@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +52,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keyed = docs.withColumn("key", named)
     found = stored(ngram_join.ngram_join(keyed, id_col="key"), "near-copies").where("n_shingles > 0")
     of = found.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("first"))
-    gone = of.where("key <> first").select("key")
+    marks = stored(of.where("key <> first OR rows > 1").select(F.col("key").alias("id"), (F.col("key") == F.col("first")).alias("stays")), "marks")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.join(gone, (keyed["key"] == gone["key"]) & worded, "left_anti")
-    repeats = of.where("rows > 1").select(F.col("key").alias("repeated"))
-    marked = kept.join(repeats, (kept["key"] == repeats["repeated"]) & worded, "left")
-    once = first_per_key(marked.where("repeated IS NOT NULL"), ["key"], [F.col(c) for c in ("text", "lang", "source", "n_chars")])
-    return marked.where("repeated IS NULL").select(*COLUMNS).union(once.select(*COLUMNS))
+    met, alone = ngram_join.sifted(keyed.where(worded), "key", marks)  # texts that no mark can concern are not shuffled
+    marked = met.join(marks, met["key"] == marks["id"], "left")  # an anti join would be moved in front of the filter
+    kept = marked.where("id IS NULL")
+    once = first_per_key(marked.where("stays"), ["key"], [F.col(c) for c in ("text", "lang", "source", "n_chars")])
+    return reduce(DataFrame.union, [df.select(*COLUMNS) for df in (keyed.where(~worded), alone, kept, once)])
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

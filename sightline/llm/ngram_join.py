@@ -188,23 +188,29 @@ def _rare_members(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
 def _filter_words(ids: DataFrame) -> DataFrame:
     """(words): one row, a bit filter over the ids in FILTER_BITS / 64 numbers; what it lets through is joined exactly."""
     spots = ids.select(F.explode(F.array(*_spots("id"))).alias("p"))
-    of = spots.groupBy((F.col("p") / 64).cast("bigint").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("b"))
-    every = ids.sparkSession.range(FILTER_BITS // 64).withColumnRenamed("id", "w").join(of, "w", "left")
-    held = F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))))
-    return every.agg(F.transform(held, lambda s: s["b"]).alias("words"))
+    of = spots.select((F.col("p") / 64).cast("bigint").alias("w"), F.expr("shiftleft(1L, int(p % 64))").alias("b"))
+    every = ids.sparkSession.range(FILTER_BITS // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    words = of.union(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda s: s["b"]).alias("words"))
 
 
 def _spots(col: str) -> list:
     return [F.pmod(F.xxhash64(F.lit(seed), F.col(col)), F.lit(FILTER_BITS)) for seed in (11, 12)]
 
 
-def _only(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows of the given ids and a few others, before anything of them is shuffled or sent to Python."""
+def sifted(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the given ids and a few others, and all the rest, before anything of them is shuffled or sent to Python."""
     words = stored(_filter_words(ids), "filter").withColumnRenamed("words", "__words")  # 0.5 MB, however many ids
     spots = {f"__p{i}": spot for i, spot in enumerate(_spots(id_col))}
     inside = " AND ".join(f"shiftright(get(__words, int({p} / 64)), int({p} % 64)) & 1 = 1" for p in spots)
-    placed = df.where(F.col(id_col).isNotNull()).withColumns(spots)
-    return placed.join(F.broadcast(words), F.expr(inside)).select(*df.columns)
+    inside = f"{id_col} IS NOT NULL AND {inside}"
+    placed = df.withColumns(spots)
+    return tuple(placed.join(F.broadcast(words), F.expr(on)).select(*df.columns) for on in (inside, f"NOT ({inside})"))
+
+
+def _only(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of the given ids and a few others."""
+    return sifted(df, id_col, ids)[0]
 
 
 def _arrays(docs: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame, *columns: str) -> DataFrame:

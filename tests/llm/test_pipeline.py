@@ -128,3 +128,26 @@ def test_stages_follow_each_other(spark):
     want = {r["doc_id"] for r in docs.collect()}
     packed = pipe.run(spark, "/root/testdata/sf0.001").select("doc_id").distinct().collect()
     assert {r["doc_id"] for r in packed} == want and 0 < len(want) < 200
+
+
+def test_texts_without_near_copies_are_not_shuffled(spark):
+    rng = random.Random(12)
+    texts = [(i, " ".join(rng.choices(string.ascii_lowercase, k=30))) for i in range(400)]
+    texts += [(500, texts[7][1]), (8, "of one id the smallest text stays"), (501, " "), (502, None)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = pipe.drop_near_copies(spark, _docs(spark, texts), SF)
+        got, moved, todo = kept.collect(), 0, [kept._jdf.queryExecution().executedPlan()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        inner = "executedPlan" if name == "AdaptiveSparkPlanExec" else "plan" if name.endswith("QueryStageExec") else None
+        todo += [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+        if name == "ShuffleExchangeExec" and "text" in node.output().mkString():
+            moved += node.metrics().apply("shuffleRecordsWritten").value()
+    one = min(texts[8][1], "of one id the smallest text stays")
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([t for t in texts if t[0] not in (8, 500)] + [(8, one)])
+    assert 0 < moved < 50
