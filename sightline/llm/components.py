@@ -12,11 +12,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for each end of a link; comp: the smallest node that can be reached.
 
     Every node takes the label that the smallest one among its own and its neighbours' has itself, until none changes.
-    The labels of each round are written to the shared folder; nothing but a count comes to the driver.
+    The labels of each round are written to the shared folder; nothing but a count comes to the driver.  The links are read
+    in each round, so callers store them; repeated ones do no harm.
     """
     ends = links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     spark = links.sparkSession
-    ends, ends_path = stored_at(ends.union(ends.select("dst", "src")).where("src <> dst").distinct(), "links")
+    ends = ends.union(ends.select("dst", "src")).where("src <> dst")
     labels, path = stored_at(ends.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("comp")), "labels")
     while True:
         near = ends.join(labels.select(F.col("node").alias("dst"), "comp"), "dst")
@@ -30,5 +31,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(spark, path)
         labels, path = new.select("node", "comp"), new_path
         if new.where("moved").isEmpty():
-            discard(spark, ends_path)
             return labels

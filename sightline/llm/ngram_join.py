@@ -10,7 +10,8 @@
   A block keeps track of what it has linked, so it compares no two texts of one component and puts out only the links
   that join components: fewer than it has texts.
 * Components are contracted after every round: later rounds see only tiles that are still apart, and only what joins
-  the components so far.  Once a round links few of the texts it compares, only large tiles get further rounds.
+  the components so far.  Once a round links few of the texts it compares, only large tiles get further rounds, as long as
+  they hold many more pairs than there are texts: a round reads all texts again, blocks do not.
 * Bitmaps are stored, sorted arrays are made again from the texts that a step has left to intersect.
 """
 
@@ -21,7 +22,6 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,7 @@ BLOCK, BLOCK_MEMBERS = 512, 1 << 18
 SMALL_TILE = 64
 STAR_ROUNDS = 8
 LEAST_LINKED = 1 / 16
+PAIRS_A_TEXT = 128
 FILTER_BITS = 1 << 22
 BYTES_AT_ONCE = 1 << 19
 
@@ -215,19 +216,19 @@ def _only(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
 def _arrays(docs: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame, *columns: str) -> DataFrame:
     """(id, n, columns) of each of the given documents (and of a few others): ``members``, the sorted set, ``bits``, its bitmap."""
-    kinds = {"members": T.ArrayType(T.LongType()), "bits": T.BinaryType()}
+    kinds = {"members": T.ArrayType(T.LongType()), "bits": T.ArrayType(T.LongType())}
     schema = T.StructType([field(docs, id_col, "id"), T.StructField("n", T.LongType()), *(T.StructField(c, kinds[c]) for c in columns)])
 
     def bitmaps(doc, h, size):
-        widths, maps = _widths(size), [b""] * len(size)
+        widths, maps = _widths(size), [None] * len(size)
         for width in np.unique(widths):
             of = np.flatnonzero(widths == width)
             cells = np.zeros((len(of), width), np.uint8)
             mine = widths[doc] == width
             cells[np.searchsorted(of, doc[mine]), (h[mine] >> U(40)).astype(np.int64) % width] = 1
             for i, m in zip(of, np.packbits(cells, axis=1), strict=True):
-                maps[i] = m.tobytes()
-        return pa.array(maps, pa.binary())
+                maps[i] = m.view(np.int64)
+        return _lists(np.concatenate(maps), widths // 64, pa.int64())
 
     def run(batches):
         for part, data, bounds in _parts(batches, 1):
@@ -246,6 +247,10 @@ def _widths(size: np.ndarray) -> np.ndarray:
     return np.maximum(LEAST_BITS, 1 << (np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) + 1))
 
 
+def _bytes(maps: pa.ChunkedArray) -> list[bytes]:
+    return [np.asarray(m.values).tobytes() for m in maps]
+
+
 def _stack(maps) -> np.ndarray:
     """Bitmaps as rows of one width, wider ones folded: as if they had been made with fewer bits."""
     width = min(map(len, maps))
@@ -273,34 +278,27 @@ def _with_both(pairs: DataFrame, arrays: DataFrame, *columns: str) -> DataFrame:
 def possible(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps do not rule out the threshold."""
 
-    @F.pandas_udf(T.BooleanType())
-    def may(xn: pd.Series, x: pd.Series, yn: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for n, a, b in zip(xn + yn, x, y, strict=True):
-            pair = _stack((a, b))
-            out.append(_overlap_bound(pair[0], n, pair[1], 0) * (100 + percent) >= percent * n)
-        return pd.Series(out, dtype=bool)
+    width = F.least(F.size("x_bits"), F.size("y_bits"))
 
-    met = _with_both(pairs, arrays, "n", "bits")
-    return met.where(may("x_n", "x_bits", "y_n", "y_bits")).select(*pairs.columns)
+    def folded(bits: str) -> Column:
+        def cell(i):
+            parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(bits) / width).cast("int") - 1), lambda j: F.get(bits, i + j * width))
+            return F.aggregate(parts, F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
 
+        return F.when(F.size(bits) == width, F.col(bits)).otherwise(F.transform(F.sequence(F.lit(0), width - 1), cell))
 
-def similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by intersection of the sorted arrays."""
+    apart = F.zip_with(folded("x_bits"), folded("y_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    both = F.col("x_n") + F.col("y_n")
+    bound = F.floor((both - F.aggregate(apart, F.lit(0), lambda x, y: x + y)) / 2)
+    return _with_both(pairs, arrays, "n", "bits").where(bound * (100 + percent) >= both * percent).select(*pairs.columns)
 
-    @F.pandas_udf(T.BooleanType())
-    def reach(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(xs, ys, strict=True):
-            x, y = np.asarray(x).view(U), np.asarray(y).view(U)
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            both = int((x[at] == y).sum()) if len(x) else 0
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
 
-    met = _with_both(pairs, arrays, "members")
-    return met.where(reach("x_members", "y_members")).select(*pairs.columns)
+def similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, by intersection of the arrays."""
+
+    both = F.size(F.array_intersect("x_members", "y_members"))
+    united = F.size("x_members") + F.size("y_members") - both
+    return _with_both(pairs, arrays, "members").where(100 * both >= percent * united).select(*pairs.columns)
 
 
 def _near_in_size(x: str, y: str, percent: int):
@@ -308,7 +306,7 @@ def _near_in_size(x: str, y: str, percent: int):
 
 
 def _different(tiles: DataFrame) -> DataFrame:
-    """(member, tile) of the tiles with more than one text; of tiles that hold the same texts, one.
+    """(member, tile, size) of the tiles with more than one text; of tiles that hold the same texts, one.
 
     Near copies share most of their rare members, so they would meet as often as they are alike.  Tiles are compared by
     their size and 128 bits of hashes.
@@ -316,7 +314,7 @@ def _different(tiles: DataFrame) -> DataFrame:
     of = [F.bit_xor(F.xxhash64(F.lit(seed), "rep")).alias(f"h{seed}") for seed in (1, 2)]
     held = tiles.groupBy("member", "tile").agg(F.count("*").alias("k"), *of).where("k > 1")
     one = held.groupBy("k", "h1", "h2").agg(F.min(F.struct("member", "tile")).alias("of"))
-    return one.select("of.member", "of.tile")
+    return one.select("of.member", "of.tile", F.col("k").alias("size"))
 
 
 def _relabelled(rows: DataFrame, joined: DataFrame, column: str = "comp") -> DataFrame:
@@ -340,6 +338,11 @@ def _apart(named: DataFrame, *more: Column) -> DataFrame:
     return of.where("lo < hi").drop("lo", "hi")
 
 
+def _pairs_left(tiles: DataFrame) -> int:
+    """How many pairs blocks would meet, either way round."""
+    return tiles.agg(F.sum("size")).first()[0] or 0
+
+
 def _star_pairs(tiles: DataFrame, seed: int, percent: int) -> DataFrame:
     """At most one pair (a, b, ca, cb) for each member that is not yet in the component of the centre of one of its tiles.
 
@@ -349,7 +352,7 @@ def _star_pairs(tiles: DataFrame, seed: int, percent: int) -> DataFrame:
     met = tiles.join(centres, ["member", "tile"]).where(F.col("comp") != F.col("c.comp"))
     met = met.withColumn("m", F.col("c.n")).where(_near_in_size("n", "m", percent))
     best = met.groupBy("rep", "comp").agg(F.min(F.struct("c.h", "c.rep", "c.comp")).alias("c"))
-    return best.select(*_ordered("rep", "comp", "c.rep", "c.comp")).distinct()
+    return best.select(*_ordered("rep", "comp", "c.rep", "c.comp"))  # a centre has the lesser hash, so no pair comes twice
 
 
 def _ordered(x: str, cx: str, y: str, cy: str) -> list[Column]:
@@ -447,16 +450,16 @@ def _large_links(many: DataFrame, maps: DataFrame, arrays_of: Callable[[DataFram
         return [rows[c].to_numpy() for c in ("own", "n", "comp")]
 
     def hopeful(rows: pa.Table) -> pa.Table:
-        return rows.take(pa.array(block_hopes(*numbers(rows), rows["bits"].to_pylist(), percent))).select(columns)
+        return rows.take(pa.array(block_hopes(*numbers(rows), _bytes(rows["bits"]), percent))).select(columns)
 
     found = _in_blocks(many.select(*columns)).join(maps, "rep").groupBy("member", "tile", "x", "y")
     hopes, path = stored_at(found.applyInArrow(hopeful, ", ".join(f"{c} {k}" for c, k in kinds.items())).distinct(), "tiles")
-    sets = arrays_of(hopes.select(F.col("rep").alias("id")).distinct()).select("id", "bits", "members")
+    sets = arrays_of(hopes.select(F.col("rep").alias("id"))).select("id", "bits", "members")
     dealt = _in_blocks(hopes).join(sets.withColumnRenamed("id", "rep"), "rep")
 
     def compare(rows: pa.Table) -> pa.Table:
         members = [np.asarray(m.values).view(U) for m in rows["members"]]
-        links = block_links(*numbers(rows), rows["bits"].to_pylist(), members, percent)
+        links = block_links(*numbers(rows), _bytes(rows["bits"]), members, percent)
         kind = rows.schema.field("comp").type
         return pa.table({"ca": pa.array([a for a, _ in links], kind), "cb": pa.array([b for _, b in links], kind)})
 
@@ -496,19 +499,24 @@ def ngram_join(
     def arrays_of(ids: DataFrame, *columns: str) -> DataFrame:
         return _arrays(docs, id_col, text_col, words, ids, *columns)
 
-    maps, maps_path = stored_at(arrays_of(live.select(F.col("rep").alias("id")).distinct(), "bits"), "maps")
+    maps, maps_path = stored_at(arrays_of(live.select(F.col("rep").alias("id")), "bits"), "maps")
     joins = []
 
     def verified(pairs: DataFrame, maps: DataFrame) -> tuple[DataFrame, str]:
         near, near_path = stored_at(possible(pairs, maps, percent), "pairs")
-        arrays = arrays_of(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
+        arrays = arrays_of(near.select(F.explode(F.array("a", "b")).alias("id")), "members")
         links, links_path = stored_at(similar(near, arrays, percent).select("ca", "cb").distinct(), "links")
         discard(spark, near_path)
         return links, links_path
 
-    def by_stars(tiles: DataFrame, path: str, maps: DataFrame, seeds: Iterator[int], least: float) -> tuple[DataFrame, str]:
-        """The tiles still apart after rounds of stars; the last is one that links fewer than ``least`` of its pairs, or none."""
+    def by_stars(tiles: DataFrame, path: str, maps: DataFrame, seeds: Iterator[int], least: float, enough: int) -> tuple[DataFrame, str]:
+        """The tiles still apart after rounds of stars, and their path.
+
+        The last round is one that links fewer than ``least`` of its pairs, or none, or leaves no more than ``enough`` pairs.
+        """
         for seed in seeds:
+            if _pairs_left(tiles) <= enough:
+                break
             pairs, pairs_path = stored_at(_star_pairs(tiles, seed, percent), "stars")
             compared = pairs.count()
             if not compared:
@@ -518,8 +526,8 @@ def ngram_join(
             linked = links.count()
             if linked:
                 joins.append(components(links, "ca", "cb"))
-                named, old = _relabelled(tiles, joins[-1]), path
-                tiles, path = stored_at(named.join(_apart(named), ["member", "tile"]), "tiles")
+                named, old = _relabelled(tiles.drop("size"), joins[-1]), path
+                tiles, path = stored_at(named.join(_apart(named, F.count("*").alias("size")), ["member", "tile"]), "tiles")
                 discard(spark, old)
             discard(spark, pairs_path)
             discard(spark, links_path)
@@ -528,14 +536,11 @@ def ngram_join(
         return tiles, path
 
     seeds = iter(range(STAR_ROUNDS))
-    live, live_path = by_stars(live, live_path, maps, seeds, LEAST_LINKED)
-    size = live.groupBy("member", "tile").agg(F.count("*").alias("size"))
-    sized, sized_path = stored_at(live.join(size, ["member", "tile"]), "tiles")
-    discard(spark, live_path)
+    sized, sized_path = by_stars(live, live_path, maps, seeds, LEAST_LINKED, 0)
     done = len(joins)
-    many, many_path = stored_at(sized.where(F.col("size") > SMALL_TILE).drop("size"), "tiles")
+    many, many_path = stored_at(sized.where(F.col("size") > SMALL_TILE), "tiles")
     of_many, of_many_path = stored_at(maps.join(many.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "maps")
-    many, many_path = by_stars(many, many_path, of_many, seeds, 0)
+    many, many_path = by_stars(many, many_path, of_many, seeds, 0, PAIRS_A_TEXT * maps.count())
     few = sized.where(F.col("size") <= SMALL_TILE)
     if joins[done:]:
         few = _relabelled(few, _in_one(joins[done:]))

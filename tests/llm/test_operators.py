@@ -442,3 +442,50 @@ def test_blocks_put_out_what_joins_components_and_no_more():
         assert groups(found) == groups(want) and len(found) < len(set(comp.tolist())) and want
         hopes = ngram_join.block_hopes(parts, n, comp, bits, 85)
         assert {c for pair in want for c in pair} <= {int(comp[i]) for i in hopes}
+
+
+def test_pairs_are_verified_without_python_workers(spark):
+    rng, rows, pairs = np.random.default_rng(3), [], []
+    for i in range(60):
+        size = int(rng.choice((1, 40, 250, 270, 500, 530, 900)))
+        x = set(rng.integers(-(2**62), 2**62, size).tolist())
+        y = {v for v in x if rng.random() < 0.92} | set(rng.integers(-(2**62), 2**62, int(rng.integers(1, 2 + size // 4 + size * (i % 9 == 0)))).tolist())
+        for k, members in ((2 * i, x), (2 * i + 1, y)):
+            hashes = np.array(sorted(members), np.int64).view(ngram_join.U)
+            cells = np.zeros(int(ngram_join._widths(np.array([len(members)]))[0]), np.uint8)
+            cells[(hashes >> ngram_join.U(40)).astype(np.int64) % len(cells)] = 1
+            rows.append((k, len(members), sorted(members), np.packbits(cells).view(np.int64).tolist()))
+        pairs.append((2 * i, 2 * i + 1, i))
+    arrays = spark.createDataFrame(rows, "id bigint, n bigint, members array<bigint>, bits array<bigint>")
+    met = spark.createDataFrame(pairs, "a bigint, b bigint, c int")
+    of, may, want = {r[0]: r for r in rows}, set(), set()
+    for a, b, c in pairs:
+        (_, m, x, xb), (_, n, y, yb) = of[a], of[b]
+        two = ngram_join._stack([np.array(v, np.int64).tobytes() for v in (xb, yb)])
+        may |= {c} if ngram_join._overlap_bound(two[0], m, two[1], n) * 180 >= 80 * (m + n) else set()
+        want |= {c} if 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)) else set()
+    possible, similar = ngram_join.possible(met, arrays, 80), ngram_join.similar(met, arrays, 80)
+    assert {r["c"] for r in possible.collect()} == may and {r["c"] for r in similar.collect()} == want
+    assert len({len(r[3]) for r in rows}) > 2 and want < may < {c for _, _, c in pairs}
+    for df in (possible, similar):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_tiles_with_few_pairs_go_to_blocks_at_once(spark, monkeypatch):
+    rng, made = random.Random(5), {}
+    shared = [f"s{i}" for i in range(5)]
+    for i in range(100):  # they share a passage, but hardly one has a near copy: a round of stars links next to nothing
+        made[i] = " ".join(shared + [f"w{i}x{j}" for j in range(2)])
+    made |= {200 + i: made[i].replace(f"w{i}x1", "z") for i in range(0, 100, 25)}
+    stars, stored_at = [], ngram_join.stored_at
+    monkeypatch.setattr(ngram_join, "stored_at", lambda df, name: (stars.append(name), stored_at(df, name))[1])
+    docs = spark.createDataFrame([(i, t) for i, t in made.items()], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(docs, words=2, percent=60).collect()}
+    sets = {i: {tuple(ws[k : k + 2]) for k in range(len(ws) - 1)} for i, t in made.items() for ws in [t.split()]}
+    comp = {i: i for i in made}
+    for i in made:
+        for j in made:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j]) and comp[i] != comp[j]:
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = {k: lo if v == hi else v for k, v in comp.items()}
+    assert found == comp and len(set(comp.values())) == 100 and stars.count("stars") == 1 and "tiles" in stars
