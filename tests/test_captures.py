@@ -157,6 +157,34 @@ def test_near_duplicates_stay_within_their_set(spark):
     assert sorted((r["set"] or 0, r["index"]) for r in got.collect()) == [(0, 3), (1, 0), (2, 1), (2, 5)]
 
 
+def test_near_duplicates_of_every_kind_of_key_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(Q, "RARE_ROWS", 4)
+    monkeypatch.setattr(Q, "PAIRED_WORDS", 9)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(40)], k=rng.randint(1, 18))) for _ in range(250)]
+    texts += [" ".join(rng.sample(t.split(), max(1, len(t.split()) - 1))) + rng.choice(["", " new"]) for t in rng.sample(texts, 60)]
+    rows = [(i % 2, i // 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "set LONG, index LONG, query STRING")
+    for threshold in (0.2, 0.6, 0.9):
+        want = [
+            (s, i) for s, i, t in rows
+            if not any(r == s and j < i and len(set(t.split()) & set(u.split())) >= threshold * len(set(t.split()) | set(u.split())) - 1e-9 for r, j, u in rows)
+        ]
+        got = Q.near_duplicate_questions(df, threshold, 20, ["set"])
+        assert sorted((r["set"], r["index"]) for r in got.collect()) == sorted(want)
+
+
+def test_near_duplicates_of_a_frequent_long_word_are_not_all_paired(spark):
+    # every question holds the two longest words; before, each met all earlier ones
+    texts = [f"internationalization considerations a{i} b{i % 97} c{i % 89} d{i % 83} e{i % 79} f{i % 73}" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[5] + " please", texts[5] + " now"])), "index LONG, query STRING")
+    firsts = df.select(F.lit(0).alias("set"), "index", F.sort_array(F.split("query", " ")).alias("words"))
+    pairs = Q._candidates(Q._ordered_words(firsts, Q.RARE_ROWS), 0.8, Q.HOT_TOKEN_ROWS).select("later", "earlier").distinct().collect()
+    assert {(600, 5), (601, 5)} <= set(map(tuple, pairs)) and len(pairs) < 600
+    assert sorted(r["index"] for r in Q.near_duplicate_questions(df).collect()) == list(range(600))
+
+
 def test_balance_spreads_over_segments(spark):
     rows = [(i, "general", "s0" if i < 6 else f"s{i}") for i in range(9)] + [(100, "branded", "b")]
     df = spark.createDataFrame(rows, "index LONG, lens STRING, segment STRING")
