@@ -276,6 +276,38 @@ def test_ingest_leaves_no_typed_rows_behind_and_stores_whole_captures(spark, tmp
     assert not [p.name for p in tmp_path.iterdir() if p.name.startswith("_checked")]
 
 
+def test_stored_captures_of_many_tasks_come_in_few_files(spark, tmp_path):
+    rows = [(run, i, json.dumps({**GOOD, "query": f"q{run} {i}"})) for run in range(40) for i in range(10)]
+    raw = spark.createDataFrame(rows, "run_id LONG, index LONG, body STRING").repartition(40)
+    ingest_batch(raw.select("run_id", "index", F.try_parse_json("body").alias("raw")), str(tmp_path), 0)
+    folders = [p for p in (tmp_path / "results").iterdir() if p.name.startswith("run_bucket=")]
+    files = [f for p in folders for f in p.iterdir() if f.name.endswith(".parquet")]
+    assert len(files) == len(folders) <= 40  # before, each task left a file in each folder it had rows of
+    assert T.read_or_empty(spark, f"{tmp_path}/results", RESULTS).count() == 400
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith("_")]
+
+
+def test_fields_read_at_once_equal_their_rules(spark):
+    odd = {
+        "query": [None, 3, "", ["x"]], "lens": [None, "promo", 1], "engine": [None, True], "captured_at": [None, "soon", 1_700_000_000, "2024-01-02"],
+        "answer_text_md": [None, 4], "sentiment": [None, {}], "overview_present": [None, "maybe", 1, 0, 2, "YES", 1.0], "brand_in_answer_text": [None, "off", []],
+        "sources": [None, "x", [None], [3], [{**LINK, "rank": "0"}], [LINK, {**LINK, "rank": "2.0"}], [{**LINK, "rank": 1.5}], [{"rank": 1, "url": None, "domain": "a.com"}], [{"rank": 1}]],
+        "citations": [None, {}, [{**LINK, "domain": "z.org"}]], "target_source_ranks": [None, [0], ["1"], [None], [1, 2]], "target_citation_ranks": [None, [-1], 5],
+    }
+    objects = [GOOD, {}, [], {**GOOD, "lens": "x", "sources": [{**LINK, "rank": "-1"}], "extra": 1}]
+    for field, values in odd.items():
+        objects += [{**GOOD, field: v} for v in values] + [{k: v for k, v in GOOD.items() if k != field}]
+    df = spark.createDataFrame([(i, json.dumps(o)) for i, o in enumerate(objects)], "index LONG, body STRING")
+    raw = df.select("index", F.try_parse_json("body").alias("raw"))
+    refusal = F.struct(F.lit("").alias("field"), F.lit("Input should be a valid dictionary or instance of QueryCapture").alias("msg"))
+    ruled, read = V.read_fields(raw, V.FIELDS, refusal), V.v_coerce(raw)
+    assert read.schema == ruled.schema and read.count() == len(objects)
+    assert sorted(map(str, read.collect())) == sorted(map(str, ruled.collect()))
+    # a row with one odd field takes one rule: the others stay as they were read
+    forms = raw.select("index", V._usual(F.col("raw")).isNotNull().alias("usual")).where("usual").collect()
+    assert objects.index({k: v for k, v in GOOD.items() if k != "query"}) in {r["index"] for r in forms}
+
+
 ODD_ARRAYS = [
     "[1,2,3]", "[1],[2]", "[1]] , [[2]", "[1] x", "x [1]", "[1,2,", "[1,,2]", "[]", " [ ] ", "", ",", " ", '{"a":1}', '"s"', "﻿[1,2]",
     '[{"a":"x,]\\" ["},[1,[2]],"q"]\n', "[1,2]]", "[[1,2]", "[NaN,1]", "[1,2],", "[1 2]", "null", "[null, 1]", "[1,2] []", "[1,2]]]", "[1]\n[2]",
